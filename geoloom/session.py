@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "geoloom", master: str | None = None, **conf) -> SparkSession:
@@ -36,3 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="geoloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write a result to the shared folder and go on from there: a lost executor costs no rework."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, for jobs started without it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="geoloom-"), "geoloom"), "zip",
+                                      os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+    return spark

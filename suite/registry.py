@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.fixtures import LIT_NOW, Tables, with_ctes
+from geoloom.session import ship_package
 
 QUERIES = {}
 ORACLE = {}
@@ -24,7 +25,7 @@ def query(oracle: str | None = None):
     """Register a function of `Tables` under its own name."""
     def register(fn):
         name = fn.__name__
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(ship_package(spark), sf_dir))
         if oracle is not None:
             ORACLE[name] = with_ctes(oracle)
         return fn

@@ -1 +1,191 @@
+"""Spatial filters and joins over points, boxes and polygons."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from geoloom.functions import geometry as g
+from geoloom.operators import collections as co
+from geoloom.operators import nearest as nn
+from geoloom.operators import relate as rel
+from geoloom.operators import spatial as sp
+from suite.registry import query
+from suite.shapes import boxes, lines, solid_zones, zones
+
+MEET = "a.minx <= b.maxx and a.maxx >= b.minx and a.miny <= b.maxy and a.maxy >= b.miny"
+SHARE = "a.minx < b.maxx and a.maxx > b.minx and a.miny < b.maxy and a.maxy > b.miny"
+INSIDE = "a.minx >= b.minx and a.maxx <= b.maxx and a.miny >= b.miny and a.maxy <= b.maxy"
+AROUND = "a.minx <= b.minx and a.maxx >= b.maxx and a.miny <= b.miny and a.maxy >= b.maxy"
+PAIRS = "from f_geometadata a join f_geometadata b on "
+
+
+@query("select id, minx, maxx, miny, maxy from f_geometadata where minx <= 20 and maxx >= -35.5 and miny <= 40 and maxy >= -12")
+def bbox_filter(t):
+    return sp.bbox_filter(boxes(t), -35.5, -12, 20, 40)
+
+
+@query("select id, x, y from f_sites where x between -20 and 35.5 and y between -12 and 40")
+def rectangular_clip(t):
+    return co.clip(t("f_sites").select("id", "x", "y"), -20, -12, 35.5, 40)
+
+
+@query(f"""
+select 'intersects' as predicate, a.id as a, b.id as b {PAIRS} {MEET}
+union all select 'within', a.id, b.id {PAIRS} {INSIDE}
+union all select 'contains', a.id, b.id {PAIRS} {AROUND}
+union all select 'equals', a.id, b.id {PAIRS} {INSIDE} and {AROUND}
+union all select 'touches', a.id, b.id {PAIRS} {MEET} and not ({SHARE})
+union all select 'overlaps', a.id, b.id {PAIRS} {SHARE} and not ({INSIDE}) and not ({AROUND})""")
+def spatial_join_boxes(t):
+    """Every predicate between boxes, from one pass over the candidate pairs."""
+    names = ["intersects", "within", "contains", "equals", "touches", "overlaps"]
+    pairs = sp.candidate_pairs(boxes(t), boxes(t))
+    held = F.array_compact(F.array(*[F.when(sp.exact_test(n, "box", "box"), n) for n in names]))
+    return pairs.select(F.explode(held).alias("predicate"), F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+
+
+@query("""select p.id as point, b.id as box, p.x > b.minx and p.x < b.maxx and p.y > b.miny and p.y < b.maxy as inside
+from f_points p join f_geometadata b on p.x between b.minx and b.maxx and p.y between b.miny and b.maxy""")
+def spatial_join_points_boxes(t):
+    pairs = sp.spatial_join(t("f_points").select("id", "x", "y"), boxes(t))
+    return pairs.select(F.col("l_id").alias("point"), F.col("r_id").alias("box"),
+                        sp.exact_test("within", "point", "box").alias("inside"))
+
+
+REACH = "abs(p.x - z.cx) + abs(p.y - z.cy)"
+IN_ZONES = f"f_sites p join f_zones z on {REACH} <= z.r and {REACH} >= z.r / 2"
+
+
+@query(f"select p.id as point, z.id as zone, {REACH} < z.r and {REACH} > z.r / 2 as inside, {REACH} in (z.r, z.r / 2) as edge from {IN_ZONES}")
+def spatial_join_points_polygons(t):
+    """Points in polygons with holes, decided inside the JVM."""
+    pairs = sp.spatial_join(t("f_sites").select("id", "x", "y"), zones(t))
+    return pairs.select(F.col("l_id").alias("point"), F.col("r_id").alias("zone"),
+                        sp.exact_test("within", "point", "geometry").alias("inside"),
+                        sp.exact_test("touches", "point", "geometry").alias("edge"))
+
+
+# Two diamonds are boxes in the turned coordinates x + y and x - y.
+TURNED = "(select id, cx+cy-r as minx, cx+cy+r as maxx, cx-cy-r as miny, cx-cy+r as maxy from f_zones)"
+TURNED_PAIRS = f"from {TURNED} a join {TURNED} b on "
+
+
+@query(f"""
+select 'intersects' as predicate, a.id as a, b.id as b {TURNED_PAIRS} {MEET}
+union all select 'within', a.id, b.id {TURNED_PAIRS} {INSIDE}
+union all select 'contains', a.id, b.id {TURNED_PAIRS} {AROUND}
+union all select 'equals', a.id, b.id {TURNED_PAIRS} {INSIDE} and {AROUND}
+union all select 'touches', a.id, b.id {TURNED_PAIRS} {MEET} and not ({SHARE})
+union all select 'overlaps', a.id, b.id {TURNED_PAIRS} {SHARE} and not ({INSIDE}) and not ({AROUND})""")
+def spatial_join_polygons(t):
+    """Every predicate between polygons, each pair related once."""
+    pairs = sp.candidate_pairs(solid_zones(t), solid_zones(t))
+    bits = pairs.select("l_id", "r_id", rel.relation(F.col("l_geom"), F.col("r_geom")).alias("bits"))
+    names = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, n)
+                                      for i, n in enumerate(rel.PREDICATES) if n != "disjoint"]))
+    return bits.select(F.explode(names).alias("predicate"), F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+
+
+@query()
+def spatial_join_lines_polygons(t):
+    """Lines crossing polygons with holes."""
+    pairs = sp.spatial_join(lines(t).select("id", "geom"), zones(t).select("id", "geom"), "crosses")
+    return pairs.select(F.col("l_id").alias("line"), F.col("r_id").alias("zone"))
+
+
+@query(f"select id from f_sites where id not in (select p.id from {IN_ZONES})")
+def spatial_disjoint(t):
+    return sp.spatial_semi(t("f_sites").select("id", "x", "y"), zones(t), "disjoint").select("id")
+
+
+@query("select id, x, y, abs(x - 10) + abs(y - 5) < 40 as inside from f_sites where abs(x - 10) + abs(y - 5) <= 40")
+def spatial_filter(t):
+    """Points in one constant diamond."""
+    ring = F.array(*[g.vertex(F.lit(10.0 + dx), F.lit(5.0 + dy)) for dx, dy in ((40, 0), (0, 40), (-40, 0), (0, -40), (40, 0))])
+    rows = t("f_sites").select("id", "x", "y")
+    within = sp.spatial_filter(rows, "within", g.polygon(ring), (-30, -35, 50, 45)).select("id", F.lit(True).alias("inside"))
+    return sp.spatial_filter(rows, "intersects", g.polygon(ring), (-30, -35, 50, 45)).join(
+        within, "id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+GAP = """sqrt(pow(greatest(a.minx - b.maxx, b.minx - a.maxx, 0), 2) + pow(greatest(a.miny - b.maxy, b.miny - a.maxy, 0), 2))"""
+
+
+@query(f"select a.id as a, b.id as b, round({GAP}, 9) as distance from f_geometadata a join f_geometadata b on {GAP} <= 2.5")
+def distance_join(t):
+    near = sp.distance_join(boxes(t), boxes(t), 2.5)
+    return near.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("distance", 9).alias("distance"))
+
+
+# Two lines of the same three-vertex shape: their distance is checked against brute force in tests.
+@query()
+def distance_join_geometries(t):
+    near = sp.distance_join(zones(t), lines(t).select("id", "geom"), 0.5)
+    return near.select(F.col("l_id").alias("zone"), F.col("r_id").alias("line"), F.round("distance", 6).alias("distance"))
+
+
+@query("""select id from f_sites p where not exists (select 1 from f_geometadata b
+  where sqrt(pow(greatest(p.x - b.maxx, b.minx - p.x, 0), 2) + pow(greatest(p.y - b.maxy, b.miny - p.y, 0), 2)) <= 1.5)""")
+def beyond(t):
+    return sp.beyond(t("f_sites").select("id", "x", "y"), boxes(t), 1.5).select("id")
+
+
+@query("""
+select id, n.nearest_id, round(sqrt(n.d2), 9) as distance from f_points p, lateral (
+  select q.id as nearest_id, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) as d2
+  from (select doc_id as id, cast(doc_id*37%1440 as double)/4-180 as x, cast(doc_id*53%720 as double)/4-90 as y from documents) q
+  order by d2, q.id limit 1) n""")
+def nearest_join(t):
+    sites = t.sql("""select doc_id as id, cast(doc_id*37%1440 as double)/4-180 as x,
+        cast(doc_id*53%720 as double)/4-90 as y from {documents}""")
+    out = nn.nearest_join(t("f_points").select("id", "x", "y"), sites)
+    return out.select("id", "nearest_id", F.round("distance", 9).alias("distance"))
+
+
+@query("""
+select id, round(sqrt(pow(x - 12.3, 2) + pow(y + 4.5, 2)), 9) as distance from f_points
+order by pow(x - 12.3, 2) + pow(y + 4.5, 2), id limit 1""")
+def nearest(t):
+    one = nn.nearest(t("f_points").select("id", "x", "y"), 12.3, -4.5)
+    return one.select("id", F.round("distance", 9).alias("distance"))
+
+
+@query()
+def snap(t):
+    moved = nn.snap(t("f_points").select("id", "x", "y"), zones(t))
+    return moved.select("id", "nearest_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("distance", 6).alias("distance"))
+
+
+@query(f"select distinct p.id, p.value from {IN_ZONES} where {REACH} < z.r and {REACH} > z.r / 2")
+def inclusion_collection(t):
+    return co.inclusion_collection(t("f_sites").select("id", "value", "x", "y"), zones(t)).select("id", "value")
+
+
+@query(f"select p.id as point, p.value, z.id as zone, z.locator as zone_locator, p.x, p.y from {IN_ZONES}")
+def intersection_collection(t):
+    pairs = co.intersection_collection(t("f_sites").select("id", "value", "x", "y"), zones(t))
+    return pairs.select(F.col("l_id").alias("point"), F.col("l_value").alias("value"), F.col("r_id").alias("zone"),
+                        F.col("r_locator").alias("zone_locator"), F.col("l_x").alias("x"), F.col("l_y").alias("y"))
+
+
+@query(f"""
+select z.id, coalesce(s.n, 0) as count, s.low as min, s.high as max, round(s.total, 6) as sum, round(s.mean, 6) as avg, round(s.dev, 6) as stddev
+from f_zones z left join (select z.id, count(p.value) as n, min(p.value) as low, max(p.value) as high, sum(p.value) as total,
+   avg(p.value) as mean, stddev_pop(p.value) as dev from {IN_ZONES} group by z.id) s using (id)""")
+def zonal_statistics(t):
+    stats = co.zonal_statistics(t("f_sites").select("id", "value", "x", "y"), zones(t), "value")
+    return stats.select("id", "count", "min", "max", *[F.round(c, 6).alias(c) for c in ("sum", "avg", "stddev")])
+
+
+@query("""
+select a.id, b.id as other, false as disjoint, true as intersects, a.cx = b.cx and a.cy = b.cy and a.r = b.r as same, 0.0 as distance, true as near
+from f_zones a join f_zones b on abs((a.cx + a.cy) - (b.cx + b.cy)) <= a.r + b.r and abs((a.cx - a.cy) - (b.cx - b.cy)) <= a.r + b.r""")
+def fn_predicates(t):
+    """The published predicates and distances, on candidate pairs."""
+    from geoloom.functions.registry import call
+    pairs = sp.candidate_pairs(solid_zones(t), solid_zones(t))
+    a, b = F.col("l_geom"), F.col("r_geom")
+    return pairs.filter(call("intersects", a, b)).select(
+        F.col("l_id").alias("id"), F.col("r_id").alias("other"), call("disjoint", a, b).alias("disjoint"),
+        call("intersects", a, b).alias("intersects"), (call("contains", a, b) & call("within", a, b)).alias("same"),
+        call("distance", a, b).alias("distance"), call("isWithinDistance", a, b, 0.1).alias("near"))
