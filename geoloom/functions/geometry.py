@@ -21,6 +21,11 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value if isinstance(value, Column) else F.lit(value)
 
 
+def _let(value: Column, build) -> Column:
+    """`build(value)` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), build)[0]
+
+
 # --- construction ---
 
 def make(kind, parts: Column, srid=4326) -> Column:
@@ -59,7 +64,10 @@ def promote(g: Column) -> Column:
 # --- text ---
 
 def from_wkt(text, srid=4326) -> Column:
-    text = _c(text)
+    return _let(_c(text), lambda t: _read_wkt(t, srid))
+
+
+def _read_wkt(text: Column, srid) -> Column:
     kind = F.upper(F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1))
     empty = text.rlike(r"(?i)\bEMPTY\s*$")
     body = F.regexp_replace(text, r"^\s*[A-Za-z]+\s*", "")
@@ -87,6 +95,10 @@ def _number(x: Column) -> Column:
 
 
 def to_wkt(g: Column) -> Column:
+    return _let(g, _write_wkt)
+
+
+def _write_wkt(g: Column) -> Column:
     def put_ring(r: Column) -> Column:
         return F.array_join(F.transform(r, lambda v: F.concat(_number(v["x"]), F.lit(" "), _number(v["y"]))), ", ")
 
@@ -195,14 +207,15 @@ def is_ring(g: Column) -> Column:
 
 def envelope(g: Column) -> Column:
     """Box struct of all vertices; null when there are none."""
-    xs, ys = F.transform(vertices(g), lambda v: v["x"]), F.transform(vertices(g), lambda v: v["y"])
-    return F.when(~is_empty(g), F.struct(F.array_min(xs).alias("minX"), F.array_max(xs).alias("maxX"),
-                                         F.array_min(ys).alias("minY"), F.array_max(ys).alias("maxY")))
+    def of(v: Column) -> Column:
+        xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
+        return F.when(F.size(v) > 0, F.struct(F.array_min(xs).alias("minX"), F.array_max(xs).alias("maxX"),
+                                              F.array_min(ys).alias("minY"), F.array_max(ys).alias("maxY")))
+    return _let(vertices(g), of)
 
 
 def envelope_geometry(g: Column) -> Column:
-    e = envelope(g)
-    return box(e["minX"], e["minY"], e["maxX"], e["maxY"], g["srid"])
+    return _let(envelope(g), lambda e: box(e["minX"], e["minY"], e["maxX"], e["maxY"], g["srid"]))
 
 
 def set_crs(g: Column, srid) -> Column:
@@ -213,8 +226,10 @@ def set_crs(g: Column, srid) -> Column:
 
 def segments(ring: Column) -> Column:
     """Consecutive vertex pairs (a, b) of a ring or line."""
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def pairs(r: Column) -> Column:
+        n = F.greatest(F.size(r) - 1, F.lit(0))
+        return F.zip_with(F.slice(r, 1, n), F.slice(r, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return _let(ring, pairs)
 
 
 def _sum(values: Column, of) -> Column:
@@ -249,6 +264,10 @@ def area(g: Column) -> Column:
 
 def centroid(g: Column) -> Column:
     """Area-weighted for polygons, length-weighted for lines, else the mean position."""
+    return _let(g, _centroid)
+
+
+def _centroid(g: Column) -> Column:
     empty = F.array().cast("array<struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>>")
     lines = F.aggregate(F.flatten(g["parts"]), empty, lambda acc, r: F.concat(acc, segments(r)))
 
@@ -282,11 +301,11 @@ def _angle(s: Column) -> Column:
 
 def start_angle(g: Column) -> Column:
     """Direction of the first segment, degrees counter-clockwise from east."""
-    return _angle(F.get(segments(vertices(g)), F.lit(0)))
+    return _let(F.get(segments(vertices(g)), F.lit(0)), _angle)
 
 
 def end_angle(g: Column) -> Column:
-    return _angle(F.try_element_at(segments(vertices(g)), F.lit(-1)))
+    return _let(F.try_element_at(segments(vertices(g)), F.lit(-1)), _angle)
 
 
 # --- comparison and movement ---
@@ -344,3 +363,17 @@ def locate_point(x: Column, y: Column, g: Column) -> Column:
     on = F.exists(rings, lambda r: F.exists(segments(r), lambda s: _on_segment(x, y, s)))
     hits = F.aggregate(rings, F.lit(0), lambda acc, r: acc + F.size(F.filter(segments(r), crosses)))
     return F.when(on, 0).when(hits % 2 == 1, 1).otherwise(-1)
+
+
+def point_to_geometry(x: Column, y: Column, g: Column) -> Column:
+    """Distance from a position to a geometry, 0 inside a polygon."""
+    def to_segment(s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        along = ((x - s["a"]["x"]) * dx + (y - s["a"]["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        return _let(F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), lambda t: F.hypot(
+            x - s["a"]["x"] - t * dx, y - s["a"]["y"] - t * dy))
+
+    lines = F.array_min(F.transform(F.flatten(g["parts"]), lambda r: F.array_min(F.transform(segments(r), to_segment))))
+    spots = F.array_min(F.transform(vertices(g), lambda v: F.hypot(x - v["x"], y - v["y"])))
+    inside = (dimension(g) == 2) & (locate_point(x, y, g) >= 0)
+    return F.when(inside, 0.0).when(dimension(g) > 0, F.coalesce(lines, spots)).otherwise(spots)

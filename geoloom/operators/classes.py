@@ -101,4 +101,5 @@ def class_of(value: Column, breaks: Column, upper_closed: bool = False) -> Colum
 
 def classify(df: DataFrame, value: str, breaks: DataFrame, upper_closed: bool = False) -> DataFrame:
     """Adds `class` from a one-row table of breaks."""
-    return df.withColumn("class", class_of(F.col(value), breaks.select("breaks").scalar(), upper_closed))
+    with_breaks = df.withColumn("_breaks", breaks.select("breaks").scalar())
+    return with_breaks.withColumn("class", class_of(F.col(value), F.col("_breaks"), upper_closed)).drop("_breaks")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
-from geoloom.operators.relate import distance as geometry_distance
 from geoloom.operators.skew import computed_once, salted_join
 from geoloom.operators.spatial import kind_of, with_box
 from geoloom.session import checkpointed
@@ -25,8 +24,8 @@ SMALL_LEVEL = 70_000
 
 def nearest(features: DataFrame, x: float, y: float) -> DataFrame:
     """The feature nearest to one position; ties go to the smallest id."""
-    gap = _box_gap(F.lit(float(x)), F.lit(float(y))) if kind_of(features) != "geometry" else geometry_distance(
-        F.col("geom"), g.point(F.lit(float(x)), F.lit(float(y))))
+    gap = _box_gap(F.lit(float(x)), F.lit(float(y))) if kind_of(features) != "geometry" else g.point_to_geometry(
+        F.lit(float(x)), F.lit(float(y)), F.col("geom"))
     near = with_box(features).withColumn("distance", gap)
     return near.agg(F.min_by(F.struct("id", "distance"), F.struct("distance", "id")).alias("n")).select("n.*")
 
@@ -153,7 +152,7 @@ def nearest_join(queries: DataFrame, items: DataFrame, levels: int | None = None
     found = salted_join(front, sitting, ["level", "cx", "cy"], "qid").filter(
         _box_gap(F.col("qx"), F.col("qy")) <= F.col("bound"))
     if kind == "geometry":
-        gap = geometry_distance(F.col("geom"), g.point(F.col("qx"), F.col("qy")))
+        gap = g.point_to_geometry(F.col("qx"), F.col("qy"), F.col("geom"))
     else:
         gap = _box_gap(F.col("qx"), F.col("qy"))
     scored = found.withColumn("distance", gap)

@@ -6,6 +6,8 @@ on or outside the other, and the named predicates follow from which combinations
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -19,16 +21,18 @@ PREDICATES = ["intersects", "disjoint", "contains", "within", "equals", "touches
 class _Shape:
     def __init__(self, dim, xs, ys, sizes):
         self.dim = int(dim)
-        self.pts = np.column_stack([np.asarray(xs, float), np.asarray(ys, float)]).reshape(-1, 2)
-        self.rings = np.split(self.pts, np.cumsum(np.asarray(sizes, int))[:-1]) if len(sizes) else []
-        lines = [np.hstack([r[:-1], r[1:]]) for r in self.rings if len(r) > 1] if self.dim else []
-        self.segs = np.vstack(lines) if lines else np.empty((0, 4))
-        self.ends = np.empty((0, 2))
+        self.pts = np.array([xs, ys], float).T
+        self.stops = np.cumsum(sizes, dtype=int)
+        self.segs, self.ends = np.empty((0, 4)), np.empty((0, 2))
+        if self.dim and len(self.pts) > 1:
+            joined = np.ones(len(self.pts) - 1, bool)
+            joined[self.stops[:-1] - 1] = False
+            self.segs = np.concatenate([self.pts[:-1], self.pts[1:]], axis=1)[joined]
         if self.dim == 1:  # end positions met an odd number of times bound a set of lines
-            tips = np.vstack([r[[0, -1]] for r in self.rings]) if self.rings else self.ends
-            if len(tips):
-                spots, counts = np.unique(tips, axis=0, return_counts=True)
-                self.ends = spots[counts % 2 == 1]
+            met = Counter()
+            for start, stop in zip([0, *self.stops[:-1]], self.stops):
+                met.update([tuple(self.pts[start]), tuple(self.pts[stop - 1])])
+            self.ends = np.array([tip for tip, times in met.items() if times % 2], float).reshape(-1, 2)
 
     def near(self, p, eps):
         """For each position, whether it lies on a segment (or vertex)."""
@@ -56,36 +60,34 @@ class _Shape:
 
     def cut(self, other, eps):
         """(cut points and vertices, piece midpoints) of this linework against another shape."""
-        nodes, mids = [self.pts], []
-        ox1, oy1, ox2, oy2 = other.segs.T
-        for x1, y1, x2, y2 in self.segs:
-            dx, dy = x2 - x1, y2 - y1
-            sq = dx * dx + dy * dy
-            if sq == 0:
-                continue
-            t = ((other.pts[:, 0] - x1) * dx + (other.pts[:, 1] - y1) * dy) / sq
-            off = np.abs((other.pts[:, 0] - x1) * dy - (other.pts[:, 1] - y1) * dx) / np.sqrt(sq)
-            cuts = [np.array([0.0, 1.0]), t[(off <= eps) & (t > 0) & (t < 1)]]
-            if len(other.segs):
-                ex, ey = ox2 - ox1, oy2 - oy1
-                den = dx * ey - dy * ex
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = ((ox1 - x1) * ey - (oy1 - y1) * ex) / den
-                    u = ((ox1 - x1) * dy - (oy1 - y1) * dx) / den
-                cuts.append(s[(den != 0) & (s > 0) & (s < 1) & (u >= 0) & (u <= 1)])
-            at = np.unique(np.concatenate(cuts))
-            keep = np.concatenate([[True], np.diff(at) * np.sqrt(sq) > 2 * eps])
-            at = at[keep]
-            nodes.append(np.column_stack([x1 + at * dx, y1 + at * dy]))
-            mid = (at[:-1] + at[1:]) / 2
-            mids.append(np.column_stack([x1 + mid * dx, y1 + mid * dy]))
-        return np.vstack(nodes), np.vstack(mids) if mids else np.empty((0, 2))
+        x, y = self.segs[:, :1], self.segs[:, 1:2]
+        dx, dy = self.segs[:, 2:3] - x, self.segs[:, 3:] - y
+        length = np.hypot(dx, dy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ox, oy = other.pts.T
+            t = ((ox - x) * dx + (oy - y) * dy) / length ** 2
+            touch = (np.abs((ox - x) * dy - (oy - y) * dx) / length <= eps) & (t > 0) & (t < 1)
+            ox, oy, ex, ey = other.segs.T
+            ex, ey = ex - ox, ey - oy
+            den = dx * ey - dy * ex
+            s = ((ox - x) * ey - (oy - y) * ex) / den
+            u = ((ox - x) * dy - (oy - y) * dx) / den
+            meet = (den != 0) & (s > 0) & (s < 1) & (u >= 0) & (u <= 1)
+        every = np.arange(len(self.segs))
+        of = np.concatenate([every, every, touch.nonzero()[0], meet.nonzero()[0]])
+        at = np.concatenate([np.zeros(len(every)), np.ones(len(every)), t[touch], s[meet]])
+        order = np.lexsort((at, of))
+        of, at = of[order], at[order]
+        corner, way = self.segs[of, :2], np.column_stack([dx[of, 0], dy[of, 0]])
+        pieces = (of[1:] == of[:-1]) & ((at[1:] - at[:-1]) * length[of[1:], 0] > 2 * eps)
+        mids = (corner[1:] + way[1:] * ((at[1:] + at[:-1]) / 2)[:, None])[pieces]
+        return np.concatenate([self.pts, corner + way * at[:, None]]), mids
 
     def inner_points(self):
         """At least one inside position for every connected part of an area."""
         levels, found = np.unique(self.pts[:, 1]), []
         x1, y1, x2, y2 = self.segs.T
-        for ring in self.rings:
+        for ring in np.split(self.pts, self.stops[:-1]):
             above = levels[levels > ring[:, 1].min()]
             if not len(above):
                 continue
@@ -112,7 +114,8 @@ def _samples(a, b, eps):
     if a.dim == 0:
         return {"I" + c for c in b.place(a.pts, eps)}, set()
     nodes, mids = a.cut(b, eps)
-    at_nodes, at_mids = b.place(nodes, eps), b.place(mids, eps)
+    places = b.place(np.concatenate([nodes, mids]), eps)
+    at_nodes, at_mids = places[:len(nodes)], places[len(nodes):]
     if a.dim == 2:
         pieces = {"B" + c for c in at_mids}
         return pieces | {"B" + c for c in at_nodes}, pieces
@@ -168,7 +171,8 @@ def _over_pairs(test, kind):
         return pd.Series([None if a[0] is None or b[0] is None or a[1] is None or b[1] is None
                           else test(_Shape(*a), _Shape(*b))
                           for a, b in zip(zip(da, xa, ya, na), zip(db, xb, yb, nb))], dtype=object)
-    return F.pandas_udf(run, kind)
+    # Not declared deterministic, so that it is neither repeated nor moved below a repartition.
+    return F.pandas_udf(run, kind).asNondeterministic()
 
 
 _relate_udf = None

@@ -138,7 +138,18 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
     if predicate == "disjoint":
         raise ValueError("disjoint pairs are all others; use spatial_semi(..., anti=True)")
     pairs = candidate_pairs(left, right, **grid)
-    return pairs.filter(exact_test(predicate, kind_of(left), kind_of(right)))
+    kinds = kind_of(left), kind_of(right)
+    if kinds[0] != "point" and "geometry" in kinds:
+        pairs = spread(pairs)
+    return pairs.filter(exact_test(predicate, *kinds))
+
+
+def spread(pairs: DataFrame) -> DataFrame:
+    """Even shares of candidate pairs: crowded cells give most of them, and each one costs Python
+    far more than moving it does."""
+    spark = pairs.sparkSession
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pairs.repartition(shares, "l_id", "r_id")
 
 
 def spatial_semi(left: DataFrame, right: DataFrame, predicate: str = "intersects", anti: bool = False,
@@ -171,7 +182,12 @@ def distance_join(left: DataFrame, right: DataFrame, limit: float, **grid) -> Da
     elif "geometry" not in kinds:
         gap = F.hypot(*[F.greatest(F.lit(0.0), F.col(f"l_min{a}") - F.col(f"r_max{a}"),
                                    F.col(f"r_min{a}") - F.col(f"l_max{a}")) for a in "xy"])
+    elif kinds[0] == "point":
+        gap = g.point_to_geometry(F.col("l_x"), F.col("l_y"), F.col("r_geom"))
+    elif kinds[1] == "point":
+        gap = g.point_to_geometry(F.col("r_x"), F.col("r_y"), F.col("l_geom"))
     else:
+        pairs = spread(pairs)
         gap = geometry_distance(_as_geometry("l_", kinds[0]), _as_geometry("r_", kinds[1]))
     return pairs.withColumn("distance", gap).filter(F.col("distance") <= limit)
 

@@ -11,13 +11,13 @@ from suite.shapes import boxes, zones
 
 
 @query("""
-select locator, count(value) as count, round(sum(value), 6) as sum, round(avg(value), 6) as average, min(value) as min,
-  max(value) as max, round(stddev_samp(value), 6) as std_dev, count(distinct value) as "distinct", round(quantile_cont(value, 0.5), 9) as median
+select locator, count(value) as count, round(sum(value), 4) as sum, round(avg(value), 9) as average, min(value) as min,
+  max(value) as max, round(stddev_samp(value), 5) as std_dev, count(distinct value) as "distinct", round(quantile_cont(value, 0.5), 9) as median
 from f_points group by locator""")
 def aggregate(t):
     out = co.aggregate(t("f_points"), "value", ["count", "sum", "average", "min", "max", "std_dev", "distinct", "median"], ["locator"])
     return out.select("locator", "count", "min", "max", "distinct", F.round("median", 9).alias("median"),
-                      *[F.round(c, 6).alias(c) for c in ("sum", "average", "std_dev")])
+                      F.round("sum", 4).alias("sum"), F.round("average", 9).alias("average"), F.round("std_dev", 5).alias("std_dev"))
 
 
 @query("""
@@ -58,7 +58,7 @@ def _classes(t, breaks):
 
 
 @query("""
-select id, least(4, floor((value - lo) / ((hi - lo) / 5))) as class from f_points, (select min(value) as lo, max(value) as hi from f_points)""")
+select id, cast(least(4, floor((value - lo) / ((hi - lo) / 5))) as int) as class from f_points, (select min(value) as lo, max(value) as hi from f_points)""")
 def classify_equal_interval(t):
     return _classes(t, classes.equal_interval(t("f_points"), "value", 5)).select("id", "class")
 
@@ -91,7 +91,7 @@ def classify_jenks(t):
 
 
 @query("""
-select floor(x / 10) as cx, floor(y / 10) as cy, count(*) as count, count(distinct (x, y)) as unique_count,
+select cast(floor(x / 10) as bigint) as cx, cast(floor(y / 10) as bigint) as cy, count(*) as count, count(distinct (x, y)) as unique_count,
   round(avg(x), 6) as x, round(avg(y), 6) as y from f_sites group by 1, 2""")
 def point_stacker(t):
     out = grids.point_stacker(t("f_sites"), 10.0)
@@ -99,7 +99,7 @@ def point_stacker(t):
 
 
 @query("""
-with cells as (select floor(x / 10) as cx, floor(y / 10) as cy, sum(value) as w from f_sites group by 1, 2),
+with cells as (select cast(floor(x / 10) as bigint) as cx, cast(floor(y / 10) as bigint) as cy, sum(value) as w from f_sites group by 1, 2),
 steps as (select unnest(range(-2, 3)) as d),
 kernel as (select a.d as dx, b.d as dy, pow(1 - (a.d * a.d + b.d * b.d) / 9.0, 2) as k from steps a, steps b where a.d * a.d + b.d * b.d < 9),
 spread as (select cx + dx as cx, cy + dy as cy, sum(w * k) as density from cells, kernel group by 1, 2)
@@ -110,7 +110,7 @@ def heatmap(t):
 
 
 @query("""
-select id, c.i as col, r.i as "row", minx + c.i * 0.5 as x, miny + r.i * 0.5 as y, 0.25 as area
+select id, c.i as col, r.i as "row", minx + c.i * 0.5 as x, miny + r.i * 0.5 as y, cast(0.25 as double) as area
 from f_geometadata, (select unnest(range(100)) as i) c, (select unnest(range(100)) as i) r
 where c.i < ceil((maxx - minx) / 0.5) and r.i < ceil((maxy - miny) / 0.5)""")
 def grid_cells(t):
@@ -145,11 +145,11 @@ def convex_hull(t):
 
 
 @query("""
-select id, round(cx * pi() / 180 * 6378137.0, 3) as x, round(cx, 9) as back_x, round(cy, 9) as back_y, 3857 as srid from f_zones""")
+select id, round((cx + r) * pi() / 180 * 6378137.0, 3) as x, round(cx + r, 9) as back_x, round(cy, 9) as back_y, 3857 as srid from f_zones""")
 def reproject_features(t):
     """Every vertex to web mercator, and back again."""
     out = zones(t).withColumn("geom", g.reproject(F.col("geom"), 3857))
-    mid = g.centroid(F.col("geom"))
-    back = g.centroid(g.reproject(F.col("geom"), 4326))
-    return out.select("id", F.round(g.get_x(mid), 3).alias("x"), F.round(g.get_x(back), 9).alias("back_x"),
+    out = out.withColumn("back", g.reproject(F.col("geom"), 4326))
+    back = F.col("back")
+    return out.select("id", F.round(g.get_x(F.col("geom")), 3).alias("x"), F.round(g.get_x(back), 9).alias("back_x"),
                       F.round(g.get_y(back), 9).alias("back_y"), F.col("geom.srid").alias("srid"))

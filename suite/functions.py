@@ -15,9 +15,9 @@ def _round(df, digits=9, keep=("id",)):
 @query("""
 select id, round(abs(x), 9) as abs, round(abs(value), 9) as abs_4, round(acos(y / 90), 9) as acos, round(asin(y / 90), 9) as asin,
   round(atan(x), 9) as atan, round(atan2(y, x), 9) as atan2, round(cos(x), 9) as cos, round(sin(x), 9) as sin,
-  round(tan(y / 60), 9) as tan, ceil(x) as ceil, floor(x) as floor, round(exp(y / 30), 9) as exp, round(sqrt(abs(x)), 9) as sqrt,
+  round(tan(y / 60), 9) as tan, cast(ceil(x) as bigint) as ceil, cast(floor(x) as bigint) as floor, round(exp(y / 30), 9) as exp, round(sqrt(abs(x)), 9) as sqrt,
   round(pi(), 9) as pi, round(ln(abs(x) + 1), 9) as log, round(pow(abs(y), 1.5), 6) as pow, round_even(x * 2, 0) as rint,
-  floor(x * 2 + 0.5) as round, floor(x * 2 + 0.5) as round_2, floor(value + 0.5) as roundDouble,
+  cast(floor(x * 2 + 0.5) as bigint) as round, cast(floor(x * 2 + 0.5) as bigint) as round_2, cast(floor(value + 0.5) as bigint) as roundDouble,
   round(x - 7 * round_even(x / 7, 0), 9) as IEEEremainder, (id * 31 - 5000) % 7 as modulo,
   case when id % 3 <> 0 then greatest(x, y) end as max, greatest(x, y) as max_4,
   case when id % 3 <> 0 then least(x, y) end as min, least(x, y) as min_2,
@@ -69,7 +69,7 @@ def fn_comparison(t):
 
 @query("""
 select id, try_cast(txt as double) as convert, txt not in ('0', 'f', '') as parseBoolean, try_cast(txt as double) as parseDouble,
-  trunc(try_cast(txt as double)) as parseInt, trunc(try_cast(txt as double)) as parseLong, id % 3 <> 0 as double2bool,
+  cast(trunc(try_cast(txt as double)) as int) as parseInt, cast(trunc(try_cast(txt as double)) as bigint) as parseLong, id % 3 <> 0 as double2bool,
   id % 5 <> 0 as int2bbool, cast(id as double) as int2ddouble, format('{:,.1f}', value * 100) as numberFormat,
   replace(replace(replace(replace(format('{:,.2f}', value * 100), ',', '_'), '.', ','), '_', '.'), '-', '~') as numberFormat2,
   strftime(ts, '%Y/%m/%d %H') as dateFormat, strftime(ts, '%Y-%m-%d %H:%M:%S') as dateParse

@@ -79,7 +79,7 @@ union all select 'touches', a.id, b.id {TURNED_PAIRS} {MEET} and not ({SHARE})
 union all select 'overlaps', a.id, b.id {TURNED_PAIRS} {SHARE} and not ({INSIDE}) and not ({AROUND})""")
 def spatial_join_polygons(t):
     """Every predicate between polygons, each pair related once."""
-    pairs = sp.candidate_pairs(solid_zones(t), solid_zones(t))
+    pairs = sp.spread(sp.candidate_pairs(solid_zones(t), solid_zones(t)))
     bits = pairs.select("l_id", "r_id", rel.relation(F.col("l_geom"), F.col("r_geom")).alias("bits"))
     names = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, n)
                                       for i, n in enumerate(rel.PREDICATES) if n != "disjoint"]))
@@ -178,12 +178,12 @@ def zonal_statistics(t):
 
 
 @query("""
-select a.id, b.id as other, false as disjoint, true as intersects, a.cx = b.cx and a.cy = b.cy and a.r = b.r as same, 0.0 as distance, true as near
+select a.id, b.id as other, false as disjoint, true as intersects, a.cx = b.cx and a.cy = b.cy and a.r = b.r as same, cast(0 as double) as distance, true as near
 from f_zones a join f_zones b on abs((a.cx + a.cy) - (b.cx + b.cy)) <= a.r + b.r and abs((a.cx - a.cy) - (b.cx - b.cy)) <= a.r + b.r""")
 def fn_predicates(t):
     """The published predicates and distances, on candidate pairs."""
     from geoloom.functions.registry import call
-    pairs = sp.candidate_pairs(solid_zones(t), solid_zones(t))
+    pairs = sp.spread(sp.candidate_pairs(solid_zones(t), solid_zones(t)))
     a, b = F.col("l_geom"), F.col("r_geom")
     return pairs.filter(call("intersects", a, b)).select(
         F.col("l_id").alias("id"), F.col("r_id").alias("other"), call("disjoint", a, b).alias("disjoint"),
