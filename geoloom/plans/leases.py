@@ -15,7 +15,7 @@ from geoloom.operators.folds import assign_ids, latest, pick
 from geoloom.plans.catalog import (
     dataset_with_metadata, deployment_status, timed_out_deployments)
 
-HOUR = F.expr("INTERVAL '1' HOUR")
+TTL = "INTERVAL '1' HOUR"
 
 
 def server_row(servers: DataFrame) -> Column:
@@ -82,7 +82,7 @@ def complete_deployments(ids: DataFrame, deployments: DataFrame, leases: DataFra
         ids.select(F.col("id").alias("deployment")), "deployment", "left_semi")
     return Completed(
         transition_deployments(ids, deployments, "live", event_no),
-        pending.select("id", "locator", "deployment", (now + HOUR).alias("lifetime"), "tag",
+        pending.select("id", "locator", "deployment", (now + F.expr(TTL)).alias("lifetime"), "tag",
                        F.lit(event_no).cast("bigint").alias("event_no")))
 
 
@@ -94,10 +94,10 @@ def new_leases(requests: DataFrame, leases: DataFrame, lifetime: Column,
         F.lit(event_no).cast("bigint").alias("event_no"))
 
 
-def attach_leases(requests: DataFrame, leases: DataFrame, now: Column, ttl: Column = HOUR,
+def attach_leases(requests: DataFrame, leases: DataFrame, now: Column, ttl: str = TTL,
                   event_no: int = 1) -> DataFrame:
     """Leases that run from now."""
-    return new_leases(requests, leases, now + ttl, event_no)
+    return new_leases(requests, leases, now + F.expr(ttl), event_no)
 
 
 def create_leases(requests: DataFrame, leases: DataFrame, event_no: int = 1) -> DataFrame:
@@ -143,7 +143,7 @@ def route_lease_requests(requests: DataFrame, deployments: DataFrame, servers: D
                           .otherwise("starting"))
               .filter(F.col("deployment").isNotNull())
               .select("seq", "locator", "timeout", "tag", "deployment", "outcome"))
-    lifetime = now + HOUR
+    lifetime = now + F.expr(TTL)
     if mode == "attempt":
         lifetime = F.when(F.col("outcome") == "starting", F.lit(None).cast("timestamp")).otherwise(lifetime)
     elif mode != "lease":
