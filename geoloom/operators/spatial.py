@@ -139,14 +139,18 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
         raise ValueError("disjoint pairs are all others; use spatial_semi(..., anti=True)")
     pairs = candidate_pairs(left, right, **grid)
     kinds = kind_of(left), kind_of(right)
-    if kinds[0] != "point" and "geometry" in kinds:
-        pairs = spread(pairs)
-    return pairs.filter(exact_test(predicate, *kinds))
+    test = exact_test(predicate, *kinds)
+    if "geometry" not in kinds:
+        return pairs.filter(test)
+    if kinds[0] == "point" and predicate in _BY_PLACE:
+        # Worked out as a column first, or the filter would move below the repartition.
+        return computed_once(spread(pairs), _hit=test).filter("_hit").drop("_hit")
+    return spread(pairs).filter(test)
 
 
 def spread(pairs: DataFrame) -> DataFrame:
-    """Even shares of candidate pairs: crowded cells give most of them, and each one costs Python
-    far more than moving it does."""
+    """Even shares of candidate pairs: crowded cells give most of them, and an exact test costs
+    far more than moving a pair does."""
     spark = pairs.sparkSession
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return pairs.repartition(shares, "l_id", "r_id")
