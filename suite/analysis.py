@@ -44,7 +44,7 @@ def union_collections(t):
 
 
 @query("""
-select locator, p as prob, round(quantile_cont(value, p), 9) as quantile from f_points, (values (0.1), (0.5), (0.9)) v(p)
+select locator, cast(p as double) as prob, round(quantile_cont(value, p), 9) as quantile from f_points, (values (0.1), (0.5), (0.9)) v(p)
 group by locator, p""".replace("quantile_cont(value, p)", """case p when 0.1 then quantile_cont(value, 0.1)
    when 0.5 then quantile_cont(value, 0.5) else quantile_cont(value, 0.9) end"""))
 def exact_quantiles(t):
