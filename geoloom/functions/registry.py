@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import operator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
 from geoloom.functions import scalar as s
+from geoloom.operators import classes, collections, grids, linear, nearest, simplify
 from geoloom.operators import relate as r
 
 FUNCTIONS = {
@@ -67,6 +68,38 @@ for _name, _others in _VARIANTS.items():
         FUNCTIONS[_other] = FUNCTIONS[_name]
 
 
+def _one(function: str):
+    return lambda df, value: collections.aggregate(df, value, [function])
+
+
+# Functions of whole tables: they take and give DataFrames.
+TABLE_FUNCTIONS = {
+    "Aggregate": collections.aggregate, "Collection_Average": _one("average"), "Collection_Max": _one("max"),
+    "Collection_Min": _one("min"), "Collection_Sum": _one("sum"), "Collection_Count": _one("count"),
+    "Collection_Median": _one("median"), "Collection_Unique": collections.unique, "Unique": collections.unique,
+    "Collection_Bounds": collections.collection_bounds, "Bounds": collections.collection_bounds,
+    "Collection_Nearest": nearest.nearest, "Nearest": nearest.nearest_join,
+    "Count": lambda df: df.agg(F.count(F.lit(1)).alias("count")), "Query": collections.query_features,
+    "Transform": collections.transform_features, "EqualInterval": classes.equal_interval, "Quantile": classes.quantile,
+    "StandardDeviation": classes.standard_deviation, "UniqueInterval": classes.unique_interval, "Jenks": classes.jenks,
+    "classify": classes.classify, "UnionFeatureCollection": collections.union_collections,
+    "InclusionFeatureCollection": collections.inclusion_collection,
+    "IntersectionFeatureCollection": collections.intersection_collection,
+    "VectorZonalStatistics": collections.zonal_statistics, "PointStacker": grids.point_stacker,
+    "Heatmap": grids.heatmap, "Grid": grids.grid_cells, "Snap": nearest.snap, "Clip": collections.clip,
+    "RectangularClip": collections.clip, "Reproject": collections.reproject_features,
+    "PointBuffers": collections.point_buffers, "BufferFeatureCollection": collections.point_buffers,
+    "CollectGeometries": collections.collect_geometries, "convexHull": collections.convex_hull,
+    "LRSGeocode": linear.geocode, "LRSMeasure": linear.measure_at, "LRSSegment": linear.segment_between,
+    "Simplify": simplify.simplify_features,
+}
+
+
 def call(name: str, *args, **options) -> Column:
     """Build a function by its published name."""
     return FUNCTIONS[name](*args, **options)
+
+
+def table_call(name: str, *args, **options) -> DataFrame:
+    """Run a table-level function by its published name."""
+    return TABLE_FUNCTIONS[name](*args, **options)

@@ -45,6 +45,16 @@ def apply_changes(df: DataFrame, inserts: DataFrame | None = None, updates: Data
     return out
 
 
+def transform_features(df: DataFrame, **definitions: str) -> DataFrame:
+    """New attributes from SQL expressions over the old ones."""
+    return df.selectExpr(*[f"{text} as `{name}`" for name, text in definitions.items()])
+
+
+def reproject_features(df: DataFrame, target: int) -> DataFrame:
+    """Geometries moved to another reference system, vertex by vertex."""
+    return df.withColumn("geom", g.reproject(F.col("geom"), target))
+
+
 AGGREGATES = {
     "count": lambda v: F.count(v), "sum": lambda v: F.sum(v), "average": lambda v: F.avg(v),
     "min": lambda v: F.min(v), "max": lambda v: F.max(v), "std_dev": lambda v: F.stddev_samp(v),

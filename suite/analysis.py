@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
+from geoloom.functions.registry import table_call
 from geoloom.operators import classes, collections as co, grids, ordering
 from suite.registry import query
 from suite.shapes import boxes, zones
@@ -33,6 +34,11 @@ def collection_aggregates(t):
         F.round("median", 9).alias("median"), "b.*")
 
 
+@query("select count(*) as count from f_points")
+def count_features(t):
+    return table_call("Count", t("f_points"))
+
+
 @query("select distinct value from f_points")
 def unique_values(t):
     return co.unique(t("f_points"), "value")

@@ -235,3 +235,8 @@ def test_edits(table):
     assert rows(out, "id") == [(1, "a"), (2, "B"), (9, "n")]
     page = co.query_features(base, F.col("v") > "a", ["v"], [F.desc("id")], 1)
     assert rows(page) == [("c",)]
+
+
+def test_published_names_are_there():
+    from geoloom.functions.registry import FUNCTIONS, TABLE_FUNCTIONS
+    assert len(set(FUNCTIONS) | set(TABLE_FUNCTIONS)) == 178
