@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1 << 20  # texts are worked on in blocks of about this size, which bounds memory
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -115,3 +117,17 @@ def seen_before(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if len(keys):
         out[order[1:]] = tagged[order][1:] == tagged[order][:-1]
     return out
+
+
+def kept_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of `docs`, all columns, for which judge(texts of a block as bytes) gives true."""
+    names = docs.columns
+    place = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = [judge(held) for _, held in text_blocks(batch.column(place).to_pylist())]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
