@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT_WORDS = 400_000  # pieces remembered in a Python worker; beyond that it starts anew
+KEPT_WORDS = 800_000  # pieces remembered in a Python worker; beyond that it starts anew
 # A space before white space or the end, control characters on which regex engines differ, special tokens.
 _UNEVEN = re.compile(r" (?=\s|$)|[\x1c-\x1f᠎]|<\|")
 _ODD = re.compile(r"[\x1c-\x1f᠎]|<\|")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 8
+WINDOW = 8  # words, a power of two
 LITERALS = 5  # words of a window at least that aren't placeholders
 BROADCAST_WINDOWS = 500_000  # benchmark windows up to this number are sent to all tasks, 10 MB; more are joined by a shuffle
 # Units that may follow a number.
@@ -25,13 +25,11 @@ _UNIT = "|".join(UNITS.split())
 def marked_words(text: Column) -> Column:
     """The words of a text, lower-cased, without punctuation; placeholders as <num>=value, <name>=value, <unit>=value."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>=\\s]+", " ")
-    # Two passes: neighbouring names share the space between them.
-    for _ in range(2):
-        text = F.regexp_replace(text, "([\\p{Ll}\\p{Nd},;:] )(\\p{Lu}\\p{L}*)", "$1<name>=$2")
+    text = F.regexp_replace(text, " (?<=[\\p{Ll}\\p{Nd},;:] )(\\p{Lu}\\p{L}*)", " <name>=$1")
     text = F.regexp_replace(text, "(^| )[^\\p{L}\\p{Nd} ]*([0-9]+(?:[.,:/][0-9]+)*)(?: ?(%|" + _UNIT + ")(?![\\p{L}\\p{Nd}]))?", "$1<num>=$2 <unit>=$3 ")
     text = F.replace(text, F.lit("<unit>= "), F.lit(" "))
     text = F.lower(F.regexp_replace(text, "[^\\p{L}\\p{M}\\p{Nd}<>=.% ]+|[.](?![0-9])", ""))
-    return F.filter(F.split(F.trim(text), " +"), lambda w: w != "")
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def _kind(word: Column) -> Column:
@@ -40,11 +38,18 @@ def _kind(word: Column) -> Column:
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows with words, a row for each window: at (from 0) and the hash of its canonical words."""
-    canonical = rows.withColumn("kinds", F.transform("words", _kind))
-    places = F.when(F.size("kinds") >= window, F.sequence(F.lit(1), F.size("kinds") - window + 1)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(places, lambda i: F.xxhash64(*[F.element_at("kinds", i + k) for k in range(window)]))
-    return canonical.withColumn("hashes", hashes).select(*rows.columns, F.posexplode("hashes").alias("at", "hash"))
+    """rows with words, a row for each window: at (from 0) and the hash of its canonical words.
+
+    Words are hashed once; then hashes of 2, 4, 8 ... words in a row are made of those of half as many.
+    """
+    hashed = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(_kind(w))))
+    size = 1
+    while size < window:
+        hashed = hashed.withColumn("hashes", F.zip_with("hashes", F.slice("hashes", size + 1, F.size("words")), lambda a, b: F.xxhash64(a, b)))
+        size *= 2
+    whole = F.when(F.size("words") >= window, F.slice("hashes", 1, F.size("words") - window + 1))
+    # The outer form: of the other, the planner makes a filter on the array's size, which works all of the above out anew.
+    return hashed.select(*rows.columns, F.posexplode_outer(whole).alias("at", "hash")).filter(F.col("hash").isNotNull())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

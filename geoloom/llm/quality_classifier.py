@@ -18,7 +18,7 @@ from geoloom.llm.words import Block, kept_rows, repeated, seen_before, text_bloc
 
 PASSAGE_WORDS = 48
 MOST_PASSAGES = 64
-TRAINING_DOCUMENTS = 8000  # labelled documents at most that the weights are learned from, drawn by their id's hash
+TRAINING_DOCUMENTS = 4000  # labelled documents at most that the weights are learned from, drawn by their id's hash
 CUT = 0.7
 _CLASSES = {  # fixed values: kinds of bytes that are counted
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&|<>",
@@ -88,7 +88,7 @@ class Attention:
     def scores(self, x, own, n) -> np.ndarray:
         return self._forward((x - self.mean) / self.scale, own, n)[-1]
 
-    def fit(self, x, own, labels, rounds: int = 400, rate: float = 0.02, decay: float = 1e-4) -> None:
+    def fit(self, x, own, labels, rounds: int = 200, rate: float = 0.02, decay: float = 1e-4) -> None:
         """Adam on the logistic loss; `own` ascends and numbers the bags from 0."""
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         x, n, w = (x - self.mean) / self.scale, len(labels), self.w
