@@ -345,11 +345,16 @@ def reproject(g: Column, target: int) -> Column:
 
 # --- point against polygon, without leaving the JVM ---
 
+NEAR = 1e-11  # as a share of the coordinates: what is nearer to a line counts as on it, here and in the general test
+
+
 def _on_segment(x: Column, y: Column, s: Column) -> Column:
     a, b = s["a"], s["b"]
-    return (((b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"]))
-            & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]))
-            & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])))
+    reach = NEAR * F.greatest(F.lit(1.0), *[F.abs(c) for c in (x, y, a["x"], a["y"], b["x"], b["y"])])
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    return ((F.abs(dx * (y - a["y"]) - dy * (x - a["x"])) <= reach * F.hypot(dx, dy))
+            & x.between(F.least(a["x"], b["x"]) - reach, F.greatest(a["x"], b["x"]) + reach)
+            & y.between(F.least(a["y"], b["y"]) - reach, F.greatest(a["y"], b["y"]) + reach))
 
 
 def locate_point(x: Column, y: Column, g: Column) -> Column:

@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.ordering import exact_quantiles
+from geoloom.operators.ordering import exact_quantiles, value_ranks
 
-HISTOGRAM = 1024
+BARS = 1024
 
 
 def equal_interval(df: DataFrame, value: str, n: int) -> DataFrame:
@@ -42,22 +42,22 @@ def standard_deviation(df: DataFrame, value: str, n: int) -> DataFrame:
     return df.agg(F.array(F.min(value).cast("double"), *inner, F.max(value).cast("double")).alias("breaks"))
 
 
-def jenks(df: DataFrame, value: str, n: int) -> DataFrame:
+def jenks(df: DataFrame, value: str, n: int, bars: int = BARS) -> DataFrame:
     """Natural breaks: the classes with the least squared deviation from their means.
 
-    All rows are first counted into a histogram: their values themselves when there are few, else
-    1024 equal ranges, each with its count and sums. Only the histogram is searched.
+    All rows are first counted into runs of neighbouring values: `bars` of about equally many distinct values, cut besides at
+    the edges of as many ranges of equal width, so that neither crowds nor outliers share a run with the rest. With at most
+    `bars` distinct values each has a run of its own and the breaks are exact. Only the runs are searched. There are n classes
+    wherever there are n distinct values; NaN is left out.
     """
     v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull())
-    shape = rows.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high"),
-                              F.approx_count_distinct(v).alias("kinds"))).scalar()
-    width = (shape["high"] - shape["low"]) / HISTOGRAM
-    spot = F.when((shape["kinds"] <= HISTOGRAM) | (width == 0), v).otherwise(
-        F.least(F.floor((v - shape["low"]) / width), F.lit(HISTOGRAM - 1)).cast("double"))
-    bars = rows.groupBy(spot.alias("spot")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"),
-        F.min(v).alias("low"), F.max(v).alias("high"))
+    rows = df.select(v.alias("_value")).filter(v.isNotNull() & ~F.isnan(v))
+    ranks = value_ranks(rows, "_value").crossJoin(F.broadcast(rows.agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))))  # one row
+    share = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    spot = F.struct(F.floor(F.col("_rank") * F.least(F.lit(max(n, bars)), "_total") / F.col("_total")), F.floor(F.coalesce(share, F.lit(0.0)) * bars))
+    bars = ranks.groupBy(spot.alias("spot")).agg(
+        F.sum("_n").cast("double").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("s"), F.sum(F.col("_v") * F.col("_v") * F.col("_n")).alias("q"),
+        F.min("_v").alias("low"), F.max("_v").alias("high"))
 
     def search(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("low")

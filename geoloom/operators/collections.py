@@ -11,20 +11,19 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
 from geoloom.operators.ordering import median
+from geoloom.operators.skew import null_safe_join
 from geoloom.operators.spatial import bbox_filter, spatial_join, spatial_semi, with_box
 
-MAX_FEATURES = 1_000_000
-
 
 def query_features(df: DataFrame, where: Column | None = None, properties: list[str] | None = None,
-                   order: list[Column] | None = None, max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """Filter, sort, cap and project, in that order. The cap is the feature service's own."""
+                   order: list[Column] | None = None, max_features: int | None = None) -> DataFrame:
+    """Filter, sort, limit and project, in that order. Without `max_features` every row is returned."""
     if where is not None:
         df = df.filter(where)
     if order:
         df = df.orderBy(*order)
     if max_features is not None:
-        df = df.limit(min(max_features, MAX_FEATURES))
+        df = df.limit(max_features)
     return df.select(*properties) if properties else df
 
 
@@ -72,7 +71,7 @@ def aggregate(df: DataFrame, value: str, functions: list[str], keys: list[str] |
         if out is None:
             out = middle
         elif keys:
-            out = out.join(middle, keys, "left")
+            out = null_safe_join(out, middle, keys, "left")
         else:
             out = out.withColumn("median", middle.select("median").scalar())
     return out.select(*keys, *functions)
@@ -125,7 +124,7 @@ def collect_geometries(df: DataFrame, keys: list[str], members: int = 10_000) ->
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / members).alias("parts"))
     multi = g.promote(F.col("geom"))
-    cut = df.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("bigint"))
+    cut = null_safe_join(df, sizes, keys).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("bigint"))
     out = cut.groupBy(*keys, "part", "parts").agg(
         F.min(multi["kind"]).alias("_kind"), F.min(multi["srid"]).alias("_srid"),
         F.sort_array(F.collect_list(F.struct("id", multi["parts"].alias("p")))).alias("_all"))

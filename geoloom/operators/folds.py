@@ -38,7 +38,7 @@ def assign_ids(df: DataFrame, key: str, start: DataFrame | int = 0, name: str =
     splits the rows evenly, so each part is numbered on its own and only the 4096 part sizes are
     added up in one place. `start` is a number or a table whose `id` column holds ids in use.
     """
-    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string")))
+    hashed = df.withColumn("_h", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
     part = F.substring("_h", 1, 3)
     sizes = hashed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.bounds import reproject_bounds
 
-# A file longer than this is not read whole by the binary source.
+# A file longer than this does not fit in one value, so it has no content and no checksum.
 MAX_BLOB = 2_000_000_000
 
 
@@ -18,7 +18,7 @@ def extract_metadata(uploads: DataFrame, blobs: DataFrame) -> tuple[DataFrame, D
     are not shuffled.
     """
     sums = blobs.select("locator", F.col("length").alias("size"),
-                        F.when(F.col("length") <= MAX_BLOB, F.md5("content")).alias("checksum"))
+                        F.md5("content").alias("checksum"))
     seen = uploads.select("name", "locator").join(sums, "locator", "left")
     good = seen.filter(F.col("checksum").isNotNull()).select("name", "locator", "checksum", "size")
     reason = F.when(F.col("size").isNull(), "no such blob").otherwise("too large")

@@ -8,6 +8,8 @@ four cells at most, and a pair meets at the coarser of its two sizes, in one cel
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,7 @@ from geoloom.operators.relate import distance as geometry_distance
 from geoloom.operators.relate import holds
 from geoloom.operators.skew import computed_once, salted_join
 
-CELL = 0.25
-LEVELS = 7
+CELL = 0.25  # the finest cell; there is no coarsest one
 BOX = ["minx", "maxx", "miny", "maxy"]
 
 
@@ -66,15 +67,24 @@ _BY_PLACE = {"intersects": lambda p: p >= 0, "within": lambda p: p == 1, "touche
 
 
 def _boxes(predicate: str, a: str, b: str) -> Column:
-    """Predicates between boxes that have an area."""
+    """Predicates between boxes; one without area is a line or a point, whose inside lies on it."""
     A, B = ({n: F.col(p + n) for n in BOX} for p in (a, b))
-    meet = (A["minx"] <= B["maxx"]) & (A["maxx"] >= B["minx"]) & (A["miny"] <= B["maxy"]) & (A["maxy"] >= B["miny"])
-    share = (A["minx"] < B["maxx"]) & (A["maxx"] > B["minx"]) & (A["miny"] < B["maxy"]) & (A["maxy"] > B["miny"])
-    inside = (A["minx"] >= B["minx"]) & (A["maxx"] <= B["maxx"]) & (A["miny"] >= B["miny"]) & (A["maxy"] <= B["maxy"])
-    around = (A["minx"] <= B["minx"]) & (A["maxx"] >= B["maxx"]) & (A["miny"] <= B["miny"]) & (A["maxy"] >= B["maxy"])
-    return {"intersects": meet, "disjoint": ~meet, "within": inside, "contains": around,
-            "equals": inside & around, "touches": meet & ~share, "overlaps": share & ~inside & ~around,
-            "crosses": F.lit(False)}[predicate]
+    flat = lambda box, axis: box[f"min{axis}"] == box[f"max{axis}"]
+    meet, inside, around, share, thick = F.lit(True), F.lit(True), F.lit(True), F.lit(True), F.lit(0)
+    sizes = [F.lit(0), F.lit(0)]
+    for x in "xy":
+        (a1, a2), (b1, b2) = ((box[f"min{x}"], box[f"max{x}"]) for box in (A, B))
+        low, high = F.greatest(a1, b1), F.least(a2, b2)
+        meet, inside, around = meet & (low <= high), inside & (a1 >= b1) & (a2 <= b2), around & (a1 <= b1) & (a2 >= b2)
+        inner = (F.when(flat(A, x) & flat(B, x), a1 == b1).when(flat(A, x), (a1 > b1) & (a1 < b2))
+                 .when(flat(B, x), (b1 > a1) & (b1 < a2)).otherwise(low < high))
+        share, thick = share & inner, thick + (low < high).cast("int")
+        sizes = [n + (~flat(box, x)).cast("int") for n, box in zip(sizes, (A, B))]
+    within, contains = inside & share, around & share
+    apart = share & ~within & ~contains
+    return {"intersects": meet, "disjoint": ~meet, "within": within, "contains": contains, "equals": inside & around,
+            "touches": meet & ~share, "overlaps": apart & (sizes[0] == sizes[1]) & (thick == sizes[0]),
+            "crosses": apart & ((sizes[0] != sizes[1]) | (thick < sizes[0]))}[predicate]
 
 
 def exact_test(predicate: str, left_kind: str, right_kind: str) -> Column:
@@ -91,25 +101,24 @@ def exact_test(predicate: str, left_kind: str, right_kind: str) -> Column:
     return holds(predicate, _as_geometry("l_", left_kind), _as_geometry("r_", right_kind))
 
 
-def _levelled(df: DataFrame, prefix: str, cell: float, levels: int, margin: float) -> DataFrame:
+def _levelled(df: DataFrame, prefix: str, cell: float, margin: float) -> DataFrame:
     """Columns renamed with a prefix, the box grown by `margin`, and the cell size that fits it."""
     boxed = with_box(df)
     out = boxed.select(*[F.col(c).alias(prefix + c) for c in boxed.columns])
     lo = {a: F.col(f"{prefix}min{a}") - margin if margin else F.col(f"{prefix}min{a}") for a in "xy"}
     hi = {a: F.col(f"{prefix}max{a}") + margin if margin else F.col(f"{prefix}max{a}") for a in "xy"}
     extent = F.greatest(hi["x"] - lo["x"], hi["y"] - lo["y"])
-    level = sum(((extent > cell * 4 ** i).cast("int") for i in range(levels - 1)), F.lit(0))
+    level = F.when(extent > cell, F.ceil(F.log(extent / cell) / math.log(4)).cast("int")).otherwise(0)
     return computed_once(out.filter(F.col(f"{prefix}minx").isNotNull()), **{
         **{f"_{prefix}lo{a}": lo[a] for a in "xy"}, **{f"_{prefix}hi{a}": hi[a] for a in "xy"},
         f"_{prefix}level": level})
 
 
-def _in_cells(df: DataFrame, prefix: str, other_levels: Column, cell: float, levels: int) -> DataFrame:
+def _in_cells(df: DataFrame, prefix: str, other_levels: Column, cell: float) -> DataFrame:
     """One row per covered cell, at the item's own size and the coarser sizes the other side uses."""
     own = F.col(f"_{prefix}level")
-    sizes = F.array(*[F.lit(float(cell * 4 ** i)) for i in range(levels)])
-    used = F.array_union(F.array(own), F.array_intersect(F.sequence(own, F.lit(levels - 1)), other_levels))
-    out = df.withColumn("_level", F.explode(used)).withColumn("_size", sizes[F.col("_level")])
+    used = F.array_union(F.array(own), F.array_except(other_levels, F.sequence(F.lit(0), own)))
+    out = df.withColumn("_level", F.explode(used)).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("_level")))
     for a in "xy":
         first, last = (F.floor(F.col(f"_{prefix}{end}{a}") / F.col("_size")) for end in ("lo", "hi"))
         out = out.withColumn(f"_c{a}", F.explode(F.sequence(first, last)))
@@ -117,14 +126,14 @@ def _in_cells(df: DataFrame, prefix: str, other_levels: Column, cell: float, lev
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: float = CELL,
-                    levels: int = LEVELS, hot_rows: int = 200_000) -> DataFrame:
+                    hot_rows: int = 200_000) -> DataFrame:
     """Pairs whose boxes come within `margin`, each once, columns prefixed `l_` and `r_`."""
-    a, b = _levelled(left, "l_", cell, levels, margin), _levelled(right, "r_", cell, levels, 0.0)
-    # At most `levels` numbers from each side.
+    a, b = _levelled(left, "l_", cell, margin), _levelled(right, "r_", cell, 0.0)
+    # A level for each fourfold size: a few dozen numbers at most from each side.
     a_levels, b_levels = (df.agg(F.collect_set(c)).scalar() for df, c in ((a, "_l_level"), (b, "_r_level")))
-    pairs = salted_join(_in_cells(a, "l_", b_levels, cell, levels),
-                        _in_cells(b, "r_", a_levels, cell, levels).drop("_size"),
-                        ["_level", "_cx", "_cy"], "l_id", hot_rows)
+    pairs = salted_join(_in_cells(a, "l_", b_levels, cell),
+                        _in_cells(b, "r_", a_levels, cell).drop("_size"),
+                        ["_level", "_cx", "_cy"], "l_id", hot_rows, "r_id")
     meet = ((F.col("_l_lox") <= F.col("_r_hix")) & (F.col("_l_hix") >= F.col("_r_lox"))
             & (F.col("_l_loy") <= F.col("_r_hiy")) & (F.col("_l_hiy") >= F.col("_r_loy")))
     # The pair belongs to the cell that holds the lower left corner of its common box.

@@ -17,17 +17,18 @@ def path_below(path: Column, prefix: str) -> Column:
 
 
 def scan_blobs(spark: SparkSession, prefix: str, locators: DataFrame | None = None,
-               stream: bool = False) -> DataFrame:
+               stream: bool = False, longest: int = MAX_BLOB) -> DataFrame:
     """(locator, length, content) of the files under a prefix; a locator is the path below it.
 
-    Bodies too long for one value are listed without content. With `locators`, one row each, and
+    Bodies too long for one value are listed without content, and without being read. With `locators`, one row each, and
     `found` false where there is no such file (the source skips empty files).
     """
     reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true")
-    # Wholly unread bodies are cheap: the length filter reaches the source.
+    # The filters on length reach the source, and where content isn't asked for no body is opened.
     files = reader.load(prefix)
-    rows = files.select(path_below(F.col("path"), prefix).alias("locator"), "length",
-                        F.when(F.col("length") <= MAX_BLOB, F.col("content")).alias("content"))
+    locator = path_below(F.col("path"), prefix).alias("locator")
+    rows = files.filter(F.col("length") <= longest).select(locator, "length", "content").unionByName(
+        files.filter(F.col("length") > longest).select(locator, "length", F.lit(None).cast("binary").alias("content")))
     if locators is None:
         return rows
     return locators.select("locator").distinct().join(rows, "locator", "left").withColumn(

@@ -159,3 +159,16 @@ def reproject_features(t):
     back = F.col("back")
     return out.select("id", F.round(g.get_x(F.col("geom")), 3).alias("x"), F.round(g.get_x(back), 9).alias("back_x"),
                       F.round(g.get_y(back), 9).alias("back_y"), F.col("geom.srid").alias("srid"))
+
+
+@query("""
+with keyed as (select case when id % 7 = 0 then null else locator end as locator, value from f_points)
+select locator, count(value) as count, round(quantile_cont(value, 0.5), 9) as median from keyed group by locator""")
+def aggregate_with_null_key(t):
+    keyed = t("f_points").withColumn("locator", F.when(F.col("id") % 7 != 0, F.col("locator")))
+    return co.aggregate(keyed, "value", ["count", "median"], ["locator"]).withColumn("median", F.round("median", 9))
+
+
+@query("select id, locator, ts, x, y, value from f_points where value > 5")
+def query_all_features(t):
+    return co.query_features(t("f_points"), F.col("value") > 5)

@@ -75,11 +75,9 @@ def deployed_servers(t):
 
 
 @query(f"""
-select * from (
-  select d.id, d.locator, s.host, s.port, s.local_path,
-         strftime((select max(l.lifetime) from f_leases l where l.deployment = d.id), '%Y-%m-%d %H:%M:%S') as lifetime
-  from f_deployments d join f_servers s on d.server = s.id where d.state = 'live') r
-where cast(lifetime as timestamp) < {NOW_SQL}""")
+with ended as (select deployment, max(lifetime) as at from f_leases group by deployment having max(lifetime) < {NOW_SQL})
+select live.id, live.locator, host, port, local_path, strftime(at, '%Y-%m-%d %H:%M:%S') as lifetime
+from ended join (from f_deployments where state = 'live') live on live.id = ended.deployment join f_servers on f_servers.id = live.server""")
 def timed_out_deployments(t):
     return catalog.timed_out_deployments(
         t("f_deployments"), t("f_servers"), t("f_leases"), now()).withColumn("lifetime", stamp("lifetime"))

@@ -189,3 +189,29 @@ def fn_predicates(t):
         F.col("l_id").alias("id"), F.col("r_id").alias("other"), call("disjoint", a, b).alias("disjoint"),
         call("intersects", a, b).alias("intersects"), (call("contains", a, b) & call("within", a, b)).alias("same"),
         call("distance", a, b).alias("distance"), call("isWithinDistance", a, b, 0.1).alias("near"))
+
+
+# Boxes of 1000 km and sites in metres.
+WIDE = "cast(doc_id * 37 % 340 - 170 as double) * 100000 as minx, cast(doc_id * 53 % 160 - 80 as double) * 100000 as miny"
+
+
+@query(f"""
+with w as (select doc_id as id, {WIDE} from documents)
+select w.id, count(*) as sites from w join f_sites s on s.x * 100000 between w.minx and w.minx + 1000000 and s.y * 100000 between w.miny and w.miny + 1000000
+group by w.id""")
+def spatial_join_wide_boxes(t):
+    wide = t("documents").selectExpr("doc_id as id", *WIDE.split(", ")).withColumns({"maxx": F.col("minx") + 1e6, "maxy": F.col("miny") + 1e6})
+    sites = t("f_sites").select("id", (F.col("x") * 100000).alias("x"), (F.col("y") * 100000).alias("y"))
+    return sp.spatial_join(sites, wide).groupBy(F.col("r_id").alias("id")).agg(F.count("*").alias("sites"))
+
+
+@query("""
+with upright as (select id, x, y - id % 3 * 0.5 as low from f_sites where id % 7 > 2)
+select a.id as a, b.id as b, a.y > b.low and a.y < b.low + 1 as crosses from (select id, x, y from f_sites where id % 7 < 3) a
+join upright b on a.x = b.x and a.y between b.low and b.low + 1""")
+def flat_boxes(t):
+    """Level against upright lines, as boxes without area."""
+    spots = t("f_sites").select("id", "x", "y")
+    level = spots.filter("id % 7 < 3").selectExpr("id", "x - 0.125D as minx", "x + 0.125D as maxx", "y as miny", "y as maxy")
+    upright = spots.filter("id % 7 > 2").selectExpr("id", "x as minx", "x as maxx", "y - id % 3 * 0.5D as miny", "y - id % 3 * 0.5D + 1 as maxy")
+    return sp.spatial_join(level, upright).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), sp.exact_test("crosses", "box", "box").alias("crosses"))

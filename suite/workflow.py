@@ -142,8 +142,9 @@ def match_grants(t):
     return leases.match_grants(t("f_lease_requests"), t.sql("select * from " + GRANTS))
 
 
-EXPIRED = f"""(select d.id, d.locator, d.server from f_deployments d join f_servers s on d.server = s.id
-  where d.state = 'live' and (select max(l.lifetime) from f_leases l where l.deployment = d.id) < {NOW_SQL})"""
+EXPIRED = f"""(select live.id, live.locator, live.server
+  from (select deployment from f_leases group by deployment having max(lifetime) < {NOW_SQL}) ended
+  join (from f_deployments where state = 'live') live on live.id = ended.deployment semi join f_servers on f_servers.id = live.server)"""
 
 
 @query(f"""
