@@ -126,6 +126,18 @@ class Scanner:
                     yield name, len(pairs) / size, len(pairs), low + pairs[0][0], low + pairs[-1][0]
                     done = low + pairs[-1][0]
 
+    def notices(self, text: str):
+        """scan() without notices whose place a better one holds: licenses share phrases, so a text comes near to several."""
+        starts, ends = [], []
+        for notice in sorted(self.scan(text), key=lambda x: (-x[1], -x[2], x[3], x[0])):
+            first, last = notice[3:]
+            k = bisect_left(starts, first)
+            if (k and ends[k - 1] >= first) or (k < len(starts) and starts[k] <= last):
+                continue
+            starts.insert(k, first)
+            ends.insert(k, last)
+            yield notice
+
     @staticmethod
     def nearest(pairs, size):
         """Aligned words that stand together: those at the ends are dropped while they are farther off than the template is long."""
@@ -138,7 +150,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """Per document (doc_id, text) and license found: best coverage, matched words, place (first and last word), notices.
 
-    A license's place is that of its best notice, the first of equal ones. Null and empty texts have no rows; rows with null or repeated
+    A license's place is that of its best notice, the first of equal ones; where notices overlap, only the best counts. Null and empty texts have no rows; rows with null or repeated
     ids are scanned each; other columns are not read.
     """
     scanner = Scanner(templates, coverage)
@@ -148,7 +160,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found: dict[str, list] = {}
-                for name, *notice in scanner.scan(text or ""):
+                for name, *notice in scanner.notices(text or ""):
                     found.setdefault(name, []).append(notice)
                 for name, notices in sorted(found.items()):
                     rows.append((doc_id, name, *max(notices, key=lambda x: (x[0], x[1], -x[2])), len(notices)))
