@@ -49,18 +49,19 @@ def read_topics(spark: SparkSession, pattern: str = ".*", root: str | None = Non
 
 
 def write_topic(df: DataFrame, topic: str, root: str | None = None, fmt: str = "text",
-                checkpoint: str | None = None, batch: int | None = None, **options) -> StreamingQuery | None:
+                checkpoint: str | None = None, batch: int | None = None, trigger: dict | None = None,
+                **options) -> StreamingQuery | None:
     """Publish rows as JSON messages.
 
-    A stream starts a query, which is returned. A batch with a number replaces what an earlier
-    try of that number wrote, so a retried micro-batch publishes once.
+    A stream starts a query, which is returned; `trigger` is Spark's, all there is now by default. A batch with a number
+    replaces what an earlier try of that number wrote, so a retried micro-batch publishes once; Kafka gets it again.
     """
     messages = encode_columns(df)
     if fmt == "kafka":
         options = {**options, "topic": topic}
     if df.isStreaming:
         writer = messages.writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
-        writer = writer.trigger(availableNow=True)
+        writer = writer.trigger(**(trigger or {"availableNow": True}))
         return writer.start(f"{root}/{topic}") if fmt == "text" else writer.start()
     if fmt == "kafka":
         messages.write.format("kafka").options(**options).save()

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from geoloom.functions.codecs import bytes_to_hex, decode, hex_to_bytes
+from geoloom.functions.codecs import bytes_to_hex, hex_to_bytes, split_bad
 from geoloom.operators.folds import latest
 from geoloom.plans.leases import finish_deployments, route_lease_requests
 from geoloom.sources.tables import append_rows, read_catalog
 from geoloom.sources.topics import write_topic
+from geoloom.streaming.ingest import start_stage
 
 # A deployment goes through the stages in this order, so their events are numbered in this order;
 # within a stage, later batches have higher numbers.
@@ -30,43 +31,53 @@ def _with_octets(messages: DataFrame) -> DataFrame:
     return messages.withColumn("tag", hex_to_bytes(F.col("tag")))
 
 
-def serve_lease_requests(requests: DataFrame, table_root: str, topic_root: str, checkpoint: str,
-                         now: Column | None = None) -> StreamingQuery:
+def serve_lease_requests(requests: DataFrame, table_root: str, topic_root: str | None, checkpoint: str,
+                         now: Column | None = None, sink: dict | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Answer `lease-requests`: new leases and deployments into the tables, grants and deploy
-    requests out. A retried batch reads the tables as they were and writes the same again."""
+    requests out, what can't be read to `lease-requests-rejected`. A retried batch reads the tables as they were and
+    writes the same again. `sink` goes to `write_topic`, e.g. fmt="kafka" and the brokers."""
+    sink = sink or {}
+
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = decode(batch.select("value"), "request_lease").filter("record is not null").select("record.*")
-        asked = seen.withColumn("tag", bytes_to_hex(F.col("tag"))).dropDuplicates(["tag"])
-        # Requests carry no order of their own; the tag settles which of a batch comes first.
-        asked = asked.withColumn("seq", F.col("tag"))
+        seen, bad = split_bad(batch.select("value"), "request_lease")
+        # Of requests with one tag the least counts, so a retry takes the same. Requests carry no order of their own; the
+        # tag settles which of a batch comes first.
+        named = seen.withColumn("tag", bytes_to_hex(F.col("tag")))
+        rest = [c for c in named.columns if c != "tag"]
+        asked = named.groupBy("tag").agg(F.min(F.struct(*rest)).alias("_r")).select("tag", *[F.col("_r")[c].alias(c) for c in rest]).withColumn("seq", F.col("tag"))
+        # All outputs read these, so they are worked out once.
+        held = [df.persist() for df in (asked, _current(spark, "deployments", table_root, "lease", number), _current(spark, "leases", table_root, "lease", number))]
         out = route_lease_requests(
-            asked, _current(spark, "deployments", table_root, "lease", number),
-            read_catalog(spark, "servers", table_root), _current(spark, "leases", table_root, "lease", number),
+            held[0], held[1], read_catalog(spark, "servers", table_root), held[2],
             F.current_timestamp() if now is None else now, event_no=_event_no("lease", number))
         append_rows(out.leases, "leases", table_root, number, "lease")
         append_rows(out.deployments, "deployments", table_root, number, "lease")
-        write_topic(_with_octets(out.grants), "lease-grants", topic_root, batch=2 * number)
-        write_topic(out.deploy_requests, "deploy-requests", topic_root, batch=number)
-    return (requests.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        write_topic(_with_octets(out.grants), "lease-grants", topic_root, batch=2 * number, **sink)
+        write_topic(out.deploy_requests, "deploy-requests", topic_root, batch=number, **sink)
+        write_topic(bad, "lease-requests-rejected", topic_root, batch=number, **sink)
+        for df in held:
+            df.unpersist()
+    return start_stage(requests, work, checkpoint, trigger)
+
 
+def serve_deploy_requests(requests: DataFrame, table_root: str, topic_root: str | None, checkpoint: str,
+                          now: Column | None = None, sink: dict | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Mark finished deployments live and grant every lease that waits for them; the unreadable go to `deploy-requests-rejected`."""
+    sink = sink or {}
 
-def serve_deploy_requests(requests: DataFrame, table_root: str, topic_root: str, checkpoint: str,
-                          now: Column | None = None) -> StreamingQuery:
-    """Mark finished deployments live and grant every lease that waits for them."""
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = decode(batch.select("value"), "request_deploy").filter("record is not null").select("record.*")
+        seen, bad = split_bad(batch.select("value"), "request_deploy")
         done, grants = finish_deployments(
             seen, _current(spark, "deployments", table_root, "deploy", number),
             _current(spark, "leases", table_root, "deploy", number),
             F.current_timestamp() if now is None else now, event_no=_event_no("deploy", number))
         append_rows(done.deployments, "deployments", table_root, number, "deploy")
         append_rows(done.leases, "leases", table_root, number, "deploy")
-        write_topic(_with_octets(grants), "lease-grants", topic_root, batch=2 * number + 1)
-    return (requests.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        write_topic(_with_octets(grants), "lease-grants", topic_root, batch=2 * number + 1, **sink)
+        write_topic(bad, "deploy-requests-rejected", topic_root, batch=number, **sink)
+    return start_stage(requests, work, checkpoint, trigger)
 
 
 def match_grants_stream(requests: DataFrame, grants: DataFrame, wait: str = "1 hour") -> DataFrame:

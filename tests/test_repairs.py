@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
-from geoloom.operators import classes, collections as co, folds, ordering, spatial
+from geoloom.operators import classes, collections as co, folds, ordering, simplify, spatial
 from geoloom.operators.relate import PREDICATES, holds
 from geoloom.operators.skew import salted_join
 from geoloom.sources import blobs
@@ -91,3 +92,11 @@ def test_salted_join_with_a_hot_right_side(spark):
     right = spark.range(500).select(F.col("id").alias("other"), F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 3).cast("long").alias("k"))
     out = salted_join(left, right, ["k"], "id", 50, "other")
     assert out.count() == out.select("id", "other").distinct().count() == left.join(right, "k").count()
+
+
+def test_simplify_is_linear_in_members(spark):
+    text = "MULTILINESTRING (" + ", ".join(f"({k} 0, {k} 0.01, {k} 1, {k + 1} 2)" for k in range(10_000)) + ")"
+    df = spark.createDataFrame([(1, text)], "id long, wkt string").withColumn("geom", g.from_wkt(F.col("wkt")))
+    began = time.time()
+    kept = simplify.simplify_features(df, 0.1).select(F.size(g.vertices(F.col("geom"))).alias("n")).first().n
+    assert kept == 30_000 and time.time() - began < 60
