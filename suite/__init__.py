@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["catalog", "workflow", "ingest", "functions", "features", "spatial", "analysis"]
+MODULES = ["catalog", "workflow", "ingest", "functions", "features", "spatial", "analysis", "storage"]
 
 
 def _load():

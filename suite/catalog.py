@@ -75,8 +75,8 @@ def deployed_servers(t):
 
 
 @query(f"""
-with ended as (select deployment, max(lifetime) as at from f_leases group by deployment having max(lifetime) < {NOW_SQL})
-select live.id, live.locator, host, port, local_path, strftime(at, '%Y-%m-%d %H:%M:%S') as lifetime
+with ended as (select deployment, max(lifetime) as last_end from f_leases group by deployment having max(lifetime) < {NOW_SQL})
+select live.id, live.locator, host, port, local_path, strftime(last_end, '%Y-%m-%d %H:%M:%S') as lifetime
 from ended join (from f_deployments where state = 'live') live on live.id = ended.deployment join f_servers on f_servers.id = live.server""")
 def timed_out_deployments(t):
     return catalog.timed_out_deployments(
