@@ -106,12 +106,12 @@ def op6_quality_rules(table):
 
 @query(r"""
 with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 grams as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as g from words),
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from words),
 sizes as (select w.doc_id, count(g) as n from words w left join grams using (doc_id) group by w.doc_id),
-overlaps as (select a.doc_id as a, b.doc_id as b, count(*) as both from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
-near as (select a, b from overlaps join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+near as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * n_both >= 85 * (x.n + y.n - n_both)),
 ways as (select a, b from near union all select b, a from near),
 reach as (select doc_id as a, doc_id as b from documents union select r.a, w.b from reach r join ways w on w.a = r.b)
 select s.doc_id, s.n as n_shingles, min(r.b) as component_id from sizes s join reach r on r.a = s.doc_id group by all""")
