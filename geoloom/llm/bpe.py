@@ -12,12 +12,12 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT_WORDS = 800_000  # pieces remembered in a Python worker; beyond that it starts anew
-# A space before white space or the end, control characters on which regex engines differ, special tokens.
-_UNEVEN = re.compile(r" (?=\s|$)|[\x1c-\x1f᠎]|<\|")
-_ODD = re.compile(r"[\x1c-\x1f᠎]|<\|")
+KEPT_WORDS = 300_000  # pieces remembered in a Python worker; beyond that it starts anew
+# Pieces that can't stand alone: none or white space after the space, control characters on which regex engines differ, special tokens.
+_ALONE = re.compile(r"\A(?:\s|\Z)|[\x1c-\x1f\u180e]|<\|")
+_ODD = re.compile(r"[\x1c-\x1f\u180e]|<\|")
 _PIECES = re.compile(r"[ \n]?\S+|\s+(?!\S)|\s+")
-_WORD = re.compile(r"\S+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # none of these joins a letter before it
 
 
 class Ids:
@@ -36,46 +36,60 @@ class Ids:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn(self, words: list[str]) -> None:
+    def _stems(self, stems: list[str]) -> None:
         """Many words are encoded as one text of lines and cut at the newlines' ids."""
-        lines = [w for w in words if _WORD.fullmatch(w)] if len(self.newline) == 1 else []
+        lines = [w for w in stems if "\n" not in w and not w[-1].isspace()] if len(self.newline) == 1 else []
         for k in range(0, len(lines), 4096):
             part = lines[k:k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + w for w in part])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) != len(part) - 1:
-                self.spaced.update(zip(part, self._each([" " + w for w in part])))
-                continue
-            data, at = ids.tobytes(), 0
-            for w, cut in zip(part, [*cuts.tolist(), len(ids)]):
-                self.spaced[w] = data[4 * at:4 * cut]
-                at = cut + 1
-        rest = [w for w in words if w not in self.spaced]
+            if len(cuts) == len(part) - 1:  # the ids between newlines, four bytes each
+                data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.spaced.update(zip(part, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
+        rest = [w for w in stems if w not in self.spaced]
         self.spaced.update(zip(rest, self._each([" " + w for w in rest])))
 
+    def _learn(self, words: list[str]) -> None:
+        """Marks after a letter are a piece of their own, so words are learned without and get the marks' ids behind."""
+        spaced, plain = self.spaced, self.plain
+        bare = [w.rstrip(_MARKS) for w in words]
+        bare = [s if s and s[-1].isalpha() else w for s, w in zip(bare, words)]
+        self._stems([s for s in set(bare) if s not in spaced])
+        for s, w in zip(bare, words):
+            if s is not w and len(s) < len(w):
+                tail = w[len(s):]
+                if tail not in plain:
+                    plain[tail] = self._each([tail])[0]
+                spaced[w] = spaced[s] + plain[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.plain) > KEPT_WORDS:
-            self.spaced.clear()
-            self.plain.clear()
-        even, uneven, whole = {}, {}, []
-        for i, text in enumerate(texts):
-            if not _UNEVEN.search(text):
-                even[i] = text.split(" ")
-            elif not _ODD.search(text):
-                uneven[i] = _PIECES.findall(text)
-            else:
-                whole.append(i)
         spaced, plain = self.spaced, self.plain
-        self._learn([w for w in {w for words in even.values() for w in words[1:]} if w not in spaced])
-        new = [p for p in {*(words[0] for words in even.values()), *(p for x in uneven.values() for p in x)} if p not in plain]
-        plain.update(zip(new, self._each(new)))
-        out = [b""] * len(texts)
-        for i, words in even.items():
-            out[i] = b"".join([plain[words[0]], *[spaced[w] for w in words[1:]]])
-        for i, pieces in uneven.items():
-            out[i] = b"".join([plain[p] for p in pieces])
-        for i, ids in zip(whole, self._each([texts[i] for i in whole])):
-            out[i] = ids
+        if len(spaced) + len(plain) > KEPT_WORDS:
+            spaced.clear()
+            plain.clear()
+        split = [text.split(" ") for text in texts]
+        new = set().union(*split).difference(spaced)
+        bad = {w for w in new if _ALONE.search(w)}
+        self._learn(list(new - bad))
+        out, uneven, whole = [b""] * len(texts), {}, []
+        for i, words in enumerate(split):
+            if bad and not bad.isdisjoint(words) and (_ODD.search(texts[i]) or not bad.isdisjoint(words[1:])):
+                if _ODD.search(texts[i]):
+                    whole.append(i)
+                else:
+                    uneven[i] = _PIECES.findall(texts[i])
+        first = {words[0] for i, words in enumerate(split) if words[0] not in plain}
+        pieces = list(first.union(p for x in uneven.values() for p in x if p not in plain))
+        plain.update(zip(pieces, self._each(pieces)))
+        whole_ids = dict(zip(whole, self._each([texts[i] for i in whole])))
+        for i, words in enumerate(split):
+            if i in uneven:
+                out[i] = b"".join([plain[p] for p in uneven[i]])
+            elif i in whole_ids:
+                out[i] = whole_ids[i]
+            else:
+                parts = [plain[words[0]], *map(spaced.__getitem__, words[1:])]  # no space stands before the first
+                out[i] = b"".join(parts)
         return out
 
 
