@@ -15,23 +15,23 @@ from geoloom.llm.jaccard import one_of_each_group
 from geoloom.llm.packing import pack
 from geoloom.llm.quality_classifier import accepted, train
 from geoloom.llm.quality_rules import passing
-from geoloom.llm.queries import BYTE_BPE, trusted
-from geoloom.session import shared_dir, ship_package
+from geoloom.llm.queries import BYTE_BPE, ready, trusted
+from geoloom.session import shared_dir
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return accepted(docs, train(docs, ship_package(spark).read.parquet(f"{sf_dir}/labels.parquet")))
+    return accepted(docs, train(docs, ready(spark).read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return passing(docs, trusted(ship_package(spark).read.parquet(f"{sf_dir}/labels.parquet")))
+    return passing(docs, trusted(ready(spark).read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
-    ship_package(spark)
+    ready(spark)
     return one_of_each_group(docs)
 
 
@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
-    ship_package(spark)
+    ready(spark)
     return pack(docs, BYTE_BPE)
 
 

@@ -23,11 +23,17 @@ ORACLE = {}
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The package sent to executors, and batches of whole texts small enough for a Python worker of modest size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ship_package(spark)
+
+
 def query(oracle: str | None = None):
     """Register a function of (read a table by name) under its own name."""
     def register(fn):
         def run(spark: SparkSession, sf_dir: str):
-            ship_package(spark)
+            ready(spark)
             return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         QUERIES[fn.__name__] = run
         if oracle:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 1 << 20  # texts are worked on in blocks of about this size, which bounds memory
+BLOCK_BYTES = 1 << 19  # texts are worked on in blocks of about this size, which bounds memory
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
