@@ -6,12 +6,12 @@ transpose. The product is worked out in blocks:
 * A set of n has a prefix of n - ceil(t n) + 1 n-grams in an order common to all documents, and two sets with Jaccard t
   share an n-gram of both prefixes. So only columns of prefixes pick entries of the product. The order puts n-grams
   that a sample of documents shows to be frequent last; any order gives the same links, this one gives few entries.
-* In the block of a prefix column the entries of one row, the leader's, are taken first. Of what is left, only entries
-  between rows that the links so far have not joined, and of those none between two rows of the column's largest
-  component. So a group of n near copies costs about n entries instead of n * n, and every link that could join two
-  components is tried.
-* Entries whose sizes alone rule the threshold out are dropped; for the others the overlap counts are accumulated
-  over whole rows.
+* First each row is multiplied with one other at most: the first row of most of its columns. Then come the entries between rows
+  that the links so far have not joined, and of those none between two rows of a column's largest component. So a group
+  of n near copies costs about n entries instead of n * n, and every link that could join two components is tried.
+* In these blocks overlap counts are accumulated over the prefix columns, and an entry is dropped if its count so far and the
+  n-grams that stand behind in the order can't reach the bound that the two sizes give. For the others the rest of
+  the two rows is multiplied too.
 """
 
 from __future__ import annotations
@@ -32,6 +32,12 @@ WIDTH = 6  # bytes of an n-gram's number in stored sets
 SAMPLE = 16  # one text of so many tells frequent n-grams
 FREQUENT = 4  # sampled texts that make an n-gram frequent
 MOST_FREQUENT = 1 << 18  # n-grams at most that tasks are told of: 2 MB. Further ones merely keep their place in the order
+BROADCAST_NUMBERS = 2_000_000  # numbers up to this many are sent to all tasks, 50 MB there; more are joined by a shuffle
+
+
+def sent(numbers: DataFrame) -> DataFrame:
+    """A column of numbers for a join: sent to all tasks if it is short enough."""
+    return F.broadcast(numbers) if numbers.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS else numbers
 
 
 def ngram_sets(texts: list[str | None], n: int, lower: bool = True) -> list[np.ndarray]:
@@ -39,7 +45,7 @@ def ngram_sets(texts: list[str | None], n: int, lower: bool = True) -> list[np.n
     out = []
     for _, held in text_blocks(texts):
         block = Block(held)
-        hashes, grams = block.hashes(lower), None
+        hashes = block.hashes(lower)
         grams = windows(hashes, n)
         for i, count in enumerate(block.counts):
             first = block.bounds[i]
@@ -84,8 +90,8 @@ def _frequent(own: DataFrame, n: int) -> np.ndarray:
     return np.array([r["gram"] for r in reversed(rows)], np.uint64)
 
 
-def _sets(own: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per document: place, doc_id, set key, size, prefix and the whole set."""
+def _prefixes(own: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Per document: place, doc_id, set key, size and prefix."""
     by_gram = np.argsort(frequent)
     grams = frequent[by_gram]
 
@@ -101,15 +107,19 @@ def _sets(own: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFra
                 prefixes.append(s[np.argsort(late, kind="stable")[:size]].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("place"), batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array([packed(s) for s in sets], pa.binary())],
-                names=["place", "doc_id", "k1", "k2", "n_shingles", "prefix", "grams"])
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["place", "doc_id", "k1", "k2", "n_shingles", "prefix"])
+
+    return own.select("place", "doc_id", "text").mapInArrow(run, "place long, doc_id long, k1 long, k2 long, n_shingles long, prefix array<long>")
 
-    return own.select("place", "doc_id", "text").mapInArrow(
-        run, "place long, doc_id long, k1 long, k2 long, n_shingles long, prefix array<long>, grams binary")
 
+def _links(pairs: DataFrame, own: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of places whose overlap reaches the threshold: whole rows of the incidence matrix multiplied."""
+    def whole(batches):
+        for batch in batches:
+            sets = ngram_sets(batch.column("text").to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array([packed(s) for s in sets], pa.binary())], names=["place", "grams"])
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose overlap reaches the threshold: rows of the incidence matrix multiplied."""
     def run(batches):
         for batch in batches:
             keep = []
@@ -119,8 +129,10 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wide = (pairs.join(sets.select(F.col("place").alias("a"), F.col("grams").alias("left")), "a")
-            .join(sets.select(F.col("place").alias("b"), F.col("grams").alias("right")), "b"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
+    rows = own.select("place", "text").join(sent(used), "place", "left_semi").mapInArrow(whole, "place long, grams binary")
+    wide = (pairs.join(rows.select(F.col("place").alias("a"), F.col("grams").alias("left")), "a")
+            .join(rows.select(F.col("place").alias("b"), F.col("grams").alias("right")), "b"))
     return wide.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
@@ -128,39 +140,50 @@ def _grouped(own: DataFrame, n: int, percent: int, folder: str | None) -> DataFr
     """(place, doc_id, n_shingles, component, component_id) of rows (place, doc_id, text); places are unique."""
     spark = own.sparkSession
     root = folder or re.sub(r"/?$", f"/jaccard-{uuid.uuid4().hex}", shared_dir(spark))
-    _sets(own, n, percent, _frequent(own, n)).write.parquet(f"{root}/sets")
-    sets = spark.read.parquet(f"{root}/sets")
-
-    classes = (sets.filter("n_shingles > 0").groupBy("k1", "k2")
-               .agg(F.min("place").alias("node"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")))
-    classes.write.parquet(f"{root}/classes")
-    classes = spark.read.parquet(f"{root}/classes")
-    rows = (sets.select("place", "n_shingles", "prefix").join(classes.select(F.col("node").alias("place")), "place", "left_semi")
-            .select(F.col("place").alias("node"), F.col("n_shingles").alias("size"), F.explode("prefix").alias("gram")))
-    # A column's leader is its row of the earliest text; only columns of two rows or more matter.
-    leaders = rows.groupBy("gram").agg(F.count("*").alias("rows"), F.min(F.struct("node", "size")).alias("leader")).filter("rows > 1")
-    fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    rows.join(leaders, "gram").select("gram", "node", "size", "leader").write.parquet(f"{root}/columns")
-    columns = spark.read.parquet(f"{root}/columns")
-
-    first = columns.filter(F.col("node") != F.col("leader.node")).filter(fits(F.col("size"), F.col("leader.size"))).select(
-        F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-    first.write.parquet(f"{root}/tried")
-    tried = spark.read.parquet(f"{root}/tried")
-    _links(tried, sets, percent).write.parquet(f"{root}/links/round=1")
-
-    joined = components(spark.read.parquet(f"{root}/links/round=1"))
-    now = (columns.select("gram", "node", "size").join(joined, "node", "left")
-           .select("gram", "node", "size", F.coalesce("component", "node").alias("component")))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    sets = kept(_prefixes(own, n, percent, _frequent(own, n)), "sets")
+    classes = kept(sets.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("place").alias("node"), F.min("doc_id").alias("first_doc")), "classes")
+    copies = sets.select("place", "k1", "k2").join(classes, ["k1", "k2"]).filter("place <> node").select("place")
+    rows = (sets.select("place", "n_shingles", "prefix").join(sent(copies), "place", "left_anti")
+            .select(F.col("place").alias("node"), F.col("n_shingles").alias("size"), F.posexplode("prefix").alias("at", "gram")))
+    # Only columns of two rows or more matter.
+    shared = kept(rows.groupBy("gram").agg(F.count("*").alias("rows"), F.min("node").alias("leader")).filter("rows > 1"), "shared").select("gram", "leader")
+    near = rows.join(sent(shared.select("gram")), "gram", "left_semi")
+    columns = kept(near.join(shared, "gram").select("gram", "node", "size", "at", "leader"), "columns")
+
+    enough = lambda overlap, x, y: F.lit(100 + percent) * overlap >= F.lit(percent) * (x + y)
+    reach = lambda both, a, b: enough(both + F.least(*[F.col(f"{x}_size") - F.col(f"{x}_at") - 1 for x in (a, b)]), F.col(f"{a}_size"), F.col(f"{b}_size"))
+    lead = columns.filter("node = leader").select("gram", F.col("size").alias("b_size"), F.col("at").alias("b_at"))
+    # A row may share more columns with a leader than that leads, so only what each column alone rules out is dropped here.
+    alone = F.least("at", "b_at") + F.least(F.col("size") - F.col("at"), F.col("b_size") - F.col("b_at"))
+    firsts = columns.filter("node <> leader").join(lead, "gram").filter(enough(alone, F.col("size"), F.col("b_size"))).groupBy("node", "leader").agg(F.count("*").alias("hits"))
+    best = firsts.groupBy("node").agg(F.max(F.struct("hits", (-F.col("leader")).alias("first"))).alias("best"))
+    tried = kept(best.select((-F.col("best.first")).alias("a"), F.col("node").alias("b")), "tried")
+    joined = components(kept(_links(tried, own, n, percent), "links/round=1"))
+
+    now = (columns.select("gram", "node", "size", "at").join(joined, "node", "left")
+           .select("gram", "node", "size", "at", F.coalesce("component", "node").alias("component")))
     shares = now.groupBy("gram", "component").agg(F.count("*").alias("share"))
     largest = shares.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("share", "component")).alias("top")).filter("parts > 1").select(
         "gram", F.col("top.component").alias("top"))
-    open_ = now.join(largest, "gram")
-    others = open_.filter(F.col("component") != F.col("top")).select(
-        "gram", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component"))
-    rest = (others.join(open_, "gram").filter((F.col("a_component") != F.col("component")) & fits(F.col("a_size"), F.col("size")))
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    _links(rest, sets, percent).write.parquet(f"{root}/links/round=2")
+    open_ = kept(now.join(largest, "gram"), "open")
+    left = open_.filter("component <> top").select("gram", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "at", "component")])
+    # A pair meets once in each column that both have. It is dropped where what stands before and after can't suffice.
+    meet = ((F.col("a_component") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a_node") < F.col("node")))
+            & enough(F.least("a_at", "at") + F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")), F.col("a_size"), F.col("size")))
+    swap = F.col("a_node") > F.col("node")
+    either = lambda one, other: F.when(swap, F.col(other)).otherwise(F.col(one))
+    hits = left.join(open_, "gram").filter(meet).select(
+        either("a_node", "node").alias("a"), either("node", "a_node").alias("b"), either("a_size", "size").alias("a_size"), either("size", "a_size").alias("b_size"),
+        either("a_at", "at").alias("a_at"), either("at", "a_at").alias("b_at"))
+    counted = hits.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("both"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
+    rest = counted.filter(reach(F.col("both"), "a", "b"))
+    pairs = kept(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    kept(_links(pairs, own, n, percent), "links/round=2")
 
     joined = components(spark.read.parquet(f"{root}/links").select("a", "b"))
     grouped = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
