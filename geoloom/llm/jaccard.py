@@ -136,10 +136,19 @@ def _links(pairs: DataFrame, own: DataFrame, n: int, percent: int) -> DataFrame:
     return wide.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _grouped(own: DataFrame, n: int, percent: int, folder: str | None) -> DataFrame:
-    """(place, doc_id, n_shingles, component, component_id) of rows (place, doc_id, text); places are unique."""
+def _numbered(docs: DataFrame, place: str, folder: str | None) -> tuple[DataFrame, str]:
+    """(docs with a column of unique row numbers, written once; the folder it is in).
+
+    The numbers follow the splits of a scan, which each job plans anew by the cores there are, so they are read from files.
+    """
+    root = folder or re.sub(r"/?$", f"/jaccard-{uuid.uuid4().hex}", shared_dir(docs.sparkSession))
+    docs.withColumn(place, F.monotonically_increasing_id()).write.parquet(f"{root}/docs")
+    return docs.sparkSession.read.parquet(f"{root}/docs"), root
+
+
+def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
+    """(place, doc_id, n_shingles, component, component_id) of rows (place, doc_id, text); places are unique and read the same each time."""
     spark = own.sparkSession
-    root = folder or re.sub(r"/?$", f"/jaccard-{uuid.uuid4().hex}", shared_dir(spark))
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
@@ -200,11 +209,11 @@ def jaccard_groups(docs: DataFrame, n: int = 4, percent: int = 85, folder: str |
 
     Words are runs of non-space, A-Z lower-cased. A text of fewer than n words is one n-gram; a null, empty or blank one
     has none and is linked with nothing. Rows with a null or repeated doc_id take part like any other; a component
-    of null ids only has a null id. An empty table gives no rows; further columns are not read. Sets and links are
-    written under `folder`, by default the cluster's checkpoint folder. `docs` must read the same each time.
+    of null ids only has a null id. An empty table gives no rows; further columns are not read. Numbered texts, sets and
+    links are written under `folder`, by default the cluster's checkpoint folder. `docs` is read once.
     """
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
-    return _grouped(own, n, percent, folder).select("doc_id", "n_shingles", "component_id")
+    own, root = _numbered(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), "place", folder)
+    return _grouped(own, n, percent, root).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 4, percent: int = 85, folder: str | None = None) -> DataFrame:
@@ -212,8 +221,8 @@ def one_of_each_group(docs: DataFrame, n: int = 4, percent: int = 85, folder: st
     place = "place"
     while place in docs.columns:
         place += "_"
-    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    numbered, root = _numbered(docs, place, folder)
     own = numbered.select(F.col(place).alias("place"), numbered["doc_id"].cast("long").alias("doc_id"), numbered["text"].cast("string").alias("text"))
-    first = _grouped(own, n, percent, folder).groupBy("component").agg(
+    first = _grouped(own, n, percent, root).groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")).alias("first")).select(F.col("first.place").alias(place))
     return numbered.join(first, place, "left_semi").drop(place)
