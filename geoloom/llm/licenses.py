@@ -7,6 +7,7 @@ Coverage is the share of the template's words that are aligned.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 
@@ -95,12 +96,13 @@ class Scanner:
     """The templates, prepared: each has the words by which stretches of text are found that may hold it."""
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE):
-        self.coverage, self.all = coverage, [(name, words_of(t)) for name, texts in templates.items() for t in texts]
+        self.all = [(name, words_of(t)) for name, texts in templates.items() for t in texts]
         common = set("a an and any are as at be by for if in is it may not of on or that the this to was with you".split())
         # A stretch that covers the template has all but a few of its words, hence one of the longest of these.
         self.marks = []
-        for _, words in self.all:
-            spare = int((1 - coverage) * len(words))
+        self.least = [math.ceil(coverage * len(words) - 1e-9) for _, words in self.all]  # words that make a notice
+        for (_, words), least in zip(self.all, self.least):
+            spare = len(words) - least
             marks, left = [], sorted({w for w in words if w not in common}, key=lambda w: (words.count(w), -len(w), w))
             while left and sum(words.count(w) for w in marks) <= spare:
                 marks.append(left.pop(0))
@@ -114,7 +116,7 @@ class Scanner:
         for i, w in enumerate(words):
             if w in self.any_mark:
                 at.setdefault(w, []).append(i)
-        for (name, template), marks in zip(self.all, self.marks):
+        for (name, template), marks, least in zip(self.all, self.marks, self.least):
             places, size = sorted(i for w in marks for i in at.get(w, ())), len(template)
             done = -1
             for place in places:
@@ -122,7 +124,7 @@ class Scanner:
                     continue
                 low, high = max(done + 1, place - size - size // 4), min(len(words), place + size + size // 4 + 1)
                 pairs = self.nearest(align(words[low:high], template), size)
-                if len(pairs) >= self.coverage * size:
+                if pairs and len(pairs) >= least:
                     yield name, len(pairs) / size, len(pairs), low + pairs[0][0], low + pairs[-1][0]
                     done = low + pairs[-1][0]
 

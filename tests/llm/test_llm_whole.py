@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from geoloom.llm import jaccard
+from geoloom.llm.licenses import Scanner
 
 from test_llm_texts import near_rows, plain_groups
 
@@ -37,3 +38,21 @@ def test_leaders_survive_other_splits(replanned):
     groups = plain_groups(rows)
     want = Counter({g for _, n, g in groups if n and g is not None}) + Counter(i for i, n, _ in groups if not n)
     assert Counter(r.doc_id for r in jaccard.one_of_each_group(docs).collect()) == want
+
+
+# --- licenses: all words that may be missing left out, the marks first
+
+def test_every_template_without_its_spare_words():
+    scanner = Scanner()
+    for (name, words), marks, least in zip(scanner.all, scanner.marks, scanner.least):
+        order = sorted(range(len(words)), key=lambda i: (words[i] not in marks, i))
+        gone = set(order[:len(words) - least])
+        text = " ".join(f"x{i}" if i in gone else w for i, w in enumerate(words))
+        found = [(c, n) for license, c, n, *_ in scanner.scan(f"before {text} after") if license == name]
+        assert (least / len(words), least) in found, (name, text)
+
+
+def test_short_notices_in_other_words():
+    for text, name in (("Distributed under the MIT License.", "MIT"), ("Available under CC BY 4.0", "CC-BY-4.0"), ("Released under CC BY-NC 4.0", "CC-BY-NC-4.0"),
+                       ("Released under CC BY-SA 4.0", "CC-BY-SA-4.0")):
+        assert [n[:2] for n in Scanner().notices(text)] == [(name, 0.8)], text
