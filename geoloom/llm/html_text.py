@@ -2,9 +2,10 @@
 
 Text nodes are aggregated by their root-to-leaf tag path: mean length and mean punctuation of a path's nodes, and the share
 of its text outside links. The two ratios are smoothed over the page's sequence of nodes and fused into one value; the
-container with the most value is the article, and what lies in it, or in another container whose value reaches a
-share of the article's, is content. Paths through elements, classes, ids or roles of menus, headers, footers, sidebars,
-notices, adverts, forms and comments have no value.
+container with the most value is the article. Another container is content if its value reaches a share of the
+article's. In the article only a path's text outside links is held against that share: by length and punctuation its lists
+and short lines would go. Its headings stay. Paths through elements or roles of menus, footers, forms and the like have no
+value; each class or id that names such a thing divides the value, so a name on what holds the article changes nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SHARE = 0.2  # of the article's value that makes another container content
+NAMED = 0.05  # what is left of a path's value for each element of it with one of NAMES
 # Elements and names that mark what is not main text.
 OUTSIDE = set("nav footer aside form script style noscript template head title button select option optgroup datalist textarea input iframe "
               "frame frameset noframes svg math canvas object embed applet audio video dialog menu fieldset legend label output meter progress".split())
@@ -46,8 +48,6 @@ def outside(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(value)):
-            return True
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -55,16 +55,28 @@ def outside(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def named(tag: str, attributes: str) -> bool:
+    """Whether a class or id has one of NAMES. It may be the layout's name ('has-sidebar'), so it is no reason to drop what is inside."""
+    if not attributes or tag in ("html", "body"):
+        return False
+    return any(name.lower() in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(next((v for v in values if v), "").lower()))
+               for name, *values in _ATTRIBUTE.findall(attributes))
+
+
 def text_nodes(page: str):
-    """(block, path, out, linked, text) of each text node: out says that its path has no value, linked that it's in a link."""
-    stack: list[tuple[str, bool]] = []  # element, whether it or an outer one is outside
+    """(block, path, out, linked, text) of each text node: out says that its path has no value, linked that it's in a link.
+
+    In the path a named element ends in *.
+    """
+    stack: list[tuple[str, bool, bool]] = []  # element, whether it or an outer one is outside, whether it is named
     block, at, nodes = 0, 0, []
 
     def put(raw: str):
         if raw:
-            path = tuple(t for t, _ in stack)
-            header = "header" in path and not HEADINGS.intersection(path)
-            nodes.append((block, path, bool(stack) and stack[-1][1] or header, "a" in path, html.unescape(raw)))
+            tags = [t for t, *_ in stack]
+            header = "header" in tags and not HEADINGS.intersection(tags)
+            path = tuple(t + "*" * marked for t, _, marked in stack)
+            nodes.append((block, path, bool(stack) and stack[-1][1] or header, "a" in tags, html.unescape(raw)))
 
     def close(tag: str):
         for k in range(len(stack) - 1, -1, -1):
@@ -84,7 +96,7 @@ def text_nodes(page: str):
         if end:
             close(tag)
             continue
-        names = [t for t, _ in stack]
+        names = [t for t, *_ in stack]
         if tag in CLOSES_P and "p" in names:
             close("p")
         if tag in ("article", "main") and "nav" in names:
@@ -102,7 +114,7 @@ def text_nodes(page: str):
             finish = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = finish.end() if finish else len(page)
             continue
-        stack.append((tag, out))
+        stack.append((tag, out, named(tag, attributes)))
     put(page[at:])
     return nodes
 
@@ -125,28 +137,50 @@ def main_text(page: str | None) -> tuple[str, int]:
     names, path = np.unique(np.array(["/".join(n[1]) for n in kept], object), return_inverse=True)
     count = np.bincount(path)
     mean = lambda v: (np.bincount(path, v) / count)[path]
-    value = smooth(mean(length)) * (1 + smooth(mean(marks))) * mean(plain) / np.maximum(mean(length), 1)
+    stars = lambda tags: sum(t.endswith("*") for t in tags)
+    value = smooth(mean(length)) * (1 + smooth(mean(marks))) * mean(plain) / np.maximum(mean(length), 1) * np.array([NAMED ** stars(n[1]) for n in kept])
 
-    def container(tags):
+    def cut(tags, inner):
         end = len(tags)
-        while end and (tags[end - 1] in INLINE or tags[end - 1] in LEAVES):
+        while end and tags[end - 1].rstrip("*") in inner:
             end -= 1
         return tags[:end]
 
+    container = lambda tags: cut(tags, INLINE | LEAVES)
     total: dict[tuple, list[float]] = {}
     for n, v, chars in zip(kept, value, length):
         entry = total.setdefault(container(n[1]), [0.0, 0.0])
         entry[0] += v * chars
         entry[1] += chars
-    marked = [c for c in total if "article" in c or "main" in c] or list(total)
+    article = lambda c: [k for k, t in enumerate(c) if t.rstrip("*") == "article"]
+    marked = [c for c in total if article(c) or "main" in c or "main*" in c] or list(total)
     best = max(marked, key=lambda c: (total[c][0], -len(c)))
-    if "article" in best:  # sections of an article belong together
-        best = best[:best.index("article") + 1]
+    if article(best):  # sections of an article belong together
+        best = best[:article(best)[0] + 1]
     top = max(total[c][0] / total[c][1] for c in total if c[:len(best)] == best)
-    content = {c for c, (v, chars) in total.items() if c[:len(best)] == best or (c in marked and v / chars >= SHARE * top)}
+    content = {c for c, (v, chars) in total.items() if c[:len(best)] != best and c in marked and v / chars >= SHARE * top}
+    # In the article: the text outside links of each path of blocks, against that of the path with the most value.
+    inside: dict[tuple, list[float]] = {}
+    for n, v, chars, free in zip(kept, value, length, plain):
+        if n[1][:len(best)] == best:
+            entry = inside.setdefault(cut(n[1], INLINE), [0.0, 0.0, 0.0])
+            entry[0] += v * chars
+            entry[1] += free
+            entry[2] += chars
+    heading = lambda tags: not HEADINGS.isdisjoint(t.rstrip("*") for t in tags)
+    worth = lambda tags, block: NAMED ** stars(tags) * inside[block][1] / inside[block][2]
+    lead = max((b for b in inside if not heading(b)), key=lambda b: inside[b][0], default=None)
+    least = SHARE * worth(lead, lead) if lead is not None else 0
+
+    def chosen(tags):
+        block = cut(tags, INLINE)
+        if container(tags)[:len(best)] != best or block not in inside:
+            return container(tags) in content or container(tags)[:len(best)] == best
+        return (NAMED ** stars(tags) >= least if heading(block) else worth(tags, block) >= least)
+
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if container(n[1]) in content:
+        if chosen(n[1]):
             blocks.setdefault(n[0], []).append(n[4])
     lines = [x for x in (" ".join("".join(b).split()) for b in blocks.values()) if x]
     return " ".join(lines), len(lines)

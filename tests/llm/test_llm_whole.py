@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from geoloom.llm import jaccard
+from geoloom.llm.html_text import main_text
 from geoloom.llm.licenses import Scanner
 
 from test_llm_texts import near_rows, plain_groups
@@ -56,3 +57,18 @@ def test_short_notices_in_other_words():
     for text, name in (("Distributed under the MIT License.", "MIT"), ("Available under CC BY 4.0", "CC-BY-4.0"), ("Released under CC BY-NC 4.0", "CC-BY-NC-4.0"),
                        ("Released under CC BY-SA 4.0", "CC-BY-SA-4.0")):
         assert [n[:2] for n in Scanner().notices(text)] == [(name, 0.8)], text
+
+
+# --- pages: names on what holds the article, links in it
+
+ARTICLE = "<h2><a href='/x'>Title</a></h2><p>A first sentence, with <a href='/y'>a link</a>, and more. Another one.</p><ul><li>Item one</li></ul><p>Short</p>"
+TEXT = "Title A first sentence, with a link, and more. Another one. Item one Short"
+
+
+def test_named_elements_around_the_article():
+    for name in ("class='container has-sidebar'", "class=no-header", "class='with-banner'", "class='form-page'", "id='page-with-comments'"):
+        for inner in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<div>{ARTICLE}</div>", ARTICLE):
+            page = f"<body><nav>Menu</nav><div {name}>{inner}<div class='sidebar'><p>Buy this now. Very cheap.</p></div></div><footer>Foot.</footer></body>"
+            assert main_text(page)[0] == TEXT, page
+    assert main_text(f"<article class='post with-banner'><div class='form-page'>{ARTICLE}</div></article>")[0] == TEXT
+    assert main_text(f"<div>{ARTICLE}</div><div id='comments'><p>Very nice, thank you.</p></div>")[0] == TEXT
