@@ -72,3 +72,9 @@ def test_named_elements_around_the_article():
             assert main_text(page)[0] == TEXT, page
     assert main_text(f"<article class='post with-banner'><div class='form-page'>{ARTICLE}</div></article>")[0] == TEXT
     assert main_text(f"<div>{ARTICLE}</div><div id='comments'><p>Very nice, thank you.</p></div>")[0] == TEXT
+
+
+def test_links_in_the_article():
+    links = "<div><a href='/a'>Tag one</a> <a href='/b'>Tag two</a></div><ol><li><a href='/c'>Other page</a></li><li><a href='/d'>One more page</a></li></ol>"
+    assert main_text(f"<article>{ARTICLE}{links}</article>")[0] == TEXT
+    assert main_text(f"<article>{links}</article>")[0] == "Tag one Tag two Other page One more page"
