@@ -2,9 +2,9 @@
 
 Numbers, names and units become typed placeholders that keep their value aside; a name is a capitalised word after a word that
 ends no sentence, a unit a known word after a number. Windows of canonical words are hashed and joined. The hits of a
-document and an item at one distance of their positions are a match; its slots are consistent if every value of the item
-stands for one value of the document, so a question asked anew with other numbers or names is caught, and chance
-fits of placeholders are not.
+row and an item at one distance of their positions are a match; its slots are consistent if no value of the item both stays and
+gives way to another, so a question asked anew with other numbers or names is caught, also where a value that has two
+places in it is replaced by two, and chance fits of placeholders are not.
 """
 
 from __future__ import annotations
@@ -52,15 +52,13 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return hashed.select(*rows.columns, F.posexplode_outer(whole).alias("at", "hash")).filter(F.col("hash").isNotNull())
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Pairs (doc_id, item_id) of documents (doc_id, text) that hold a benchmark item (item_id, text), as posed or with other values.
+def _row(text: Column) -> Column:
+    """A key of the text, by which rows are judged one by one: rows of equal texts hold the same items."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-    n_windows: windows that agree, coverage: their share of the item's, n_slots: differing values, exact: whether all values are the
-    item's. A pair's best consistent match counts. Items of fewer than `window` words have no windows and are not
-    searched for; null and empty texts have none either. Rows with a null id on either side are left out of the pairs; rows that
-    repeat an id count as one document. Empty tables give no pairs; further columns are not read.
-    """
-    own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+
+def _matches(own: DataFrame, benchmark: DataFrame, keys: list[str], window: int, literals: int, broadcast_windows: int) -> DataFrame:
+    """Best consistent match of each `keys` and item_id, for rows of `own` (keys, row, text); see leaks()."""
     items = benchmark.select(benchmark["item_id"].alias("item_id"), benchmark["text"].cast("string").alias("text")).filter(F.col("item_id").isNotNull())
     asked = _windows(items.select("item_id", marked_words(F.col("text")).alias("words")), window).select(
         "item_id", F.col("at").alias("item_at"), "hash", F.slice("words", F.col("at") + 1, window).alias("item_words"),
@@ -69,18 +67,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     hashes = asked.groupBy("hash").count()
     if hashes.limit(broadcast_windows + 1).count() <= broadcast_windows:
         hashes = F.broadcast(hashes)
-    told = _windows(own.select("doc_id", marked_words(F.col("text")).alias("words")), window)
-    told = told.join(hashes, "hash").select("hash", "doc_id", F.col("at").alias("doc_at"), F.slice("words", F.col("at") + 1, window).alias("doc_words"))
+    ids = list(dict.fromkeys([*keys, "row"]))
+    told = _windows(own.select(*ids, marked_words(F.col("text")).alias("words")), window)
+    told = told.join(hashes, "hash").select("hash", *ids, F.col("at").alias("doc_at"), F.slice("words", F.col("at") + 1, window).alias("doc_words"))
     hits = told.join(asked, "hash").filter(F.transform("doc_words", _kind) == F.transform("item_words", _kind))
     slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].startswith("<"))
     # A match has a row for each window of the item at most, so what is gathered is bounded by the item's length.
-    matches = hits.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("distance"), "item_at", "item_windows", slots.alias("slots")).groupBy(
-        "doc_id", "item_id", "distance").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"),
-                                             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    names = F.array_distinct(F.transform("slots", lambda p: p["item_words"]))
+    matches = hits.select(*ids, "item_id", (F.col("doc_at") - F.col("item_at")).alias("distance"), "item_at", "item_windows", slots.alias("slots")).groupBy(
+        *ids, "item_id", "distance").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"),
+                                         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     differ = F.filter("slots", lambda p: p["item_words"] != p["doc_words"])
-    consistent = matches.filter(F.size("slots") == F.size(names)).select("doc_id", "item_id", F.struct(
+    same = F.filter("slots", lambda p: p["item_words"] == p["doc_words"])
+    changed, stayed = (F.transform(x, lambda p: p["item_words"]) for x in (differ, same))
+    consistent = matches.filter(~F.arrays_overlap(changed, stayed)).select(*keys, "item_id", F.struct(
         "n_windows", (-F.size(differ)).alias("same"), (F.col("n_windows") / F.col("item_windows")).alias("coverage")).alias("match"))
-    best = consistent.groupBy("doc_id", "item_id").agg(F.max("match").alias("match"))
+    return consistent.groupBy(*keys, "item_id").agg(F.max("match").alias("match"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Pairs (doc_id, item_id) of documents (doc_id, text) that hold a benchmark item (item_id, text), as posed or with other values.
+
+    n_windows: windows that agree, coverage: their share of the item's, n_slots: differing values, exact: whether all values are the
+    item's. A pair's best consistent match counts. Items of fewer than `window` words have no windows and are not
+    searched for; null and empty texts have none either. Rows with a null id on either side are left out of the pairs; rows that
+    repeat an id are matched each, and the best of them counts. Empty tables give no pairs; further columns are not read.
+    """
+    own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    best = _matches(own.withColumn("row", _row(F.col("text"))), benchmark, ["doc_id"], window, literals, broadcast_windows)
     return best.select("doc_id", "item_id", F.col("match.n_windows").alias("n_windows"), F.col("match.coverage").alias("coverage"),
                        (-F.col("match.same")).cast("long").alias("n_slots"), (F.col("match.same") == 0).alias("exact"))

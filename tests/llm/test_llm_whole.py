@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from geoloom.llm import jaccard
+from geoloom.llm.decontamination import leaks
 from geoloom.llm.html_text import main_text
 from geoloom.llm.licenses import Scanner
 
@@ -78,3 +79,21 @@ def test_links_in_the_article():
     links = "<div><a href='/a'>Tag one</a> <a href='/b'>Tag two</a></div><ol><li><a href='/c'>Other page</a></li><li><a href='/d'>One more page</a></li></ol>"
     assert main_text(f"<article>{ARTICLE}{links}</article>")[0] == TEXT
     assert main_text(f"<article>{links}</article>")[0] == "Tag one Tag two Other page One more page"
+
+
+# --- benchmark leaks: values with two places, rows of one id
+
+def test_one_value_in_two_places_asked_anew(spark):
+    item = "Every shop on the long street sells 2 boxes of fresh fruit that stay good for about 2 days in summer."
+    anew = item.replace("2 boxes", "3 boxes").replace("2 days", "7 days")
+    docs = spark.createDataFrame([(1, f"words before it. {anew} words after"), (2, item)], "doc_id long, text string")
+    found = {r.doc_id: r for r in leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert set(found) == {1, 2} and not found[1].exact and found[2].exact and found[1].n_slots == 2
+    assert found[1].n_windows == found[2].n_windows
+
+
+def test_rows_of_one_id_are_matched_each(spark):
+    item = "Every shop on the long street sells 2 boxes of fresh fruit that stay good in summer."
+    docs = spark.createDataFrame([(1, item), (1, item.replace("2", "9"))], "doc_id long, text string")
+    found = leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert len(found) == 1 and found[0].exact
