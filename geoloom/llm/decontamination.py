@@ -52,6 +52,42 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return hashed.select(*rows.columns, F.posexplode_outer(whole).alias("at", "hash")).filter(F.col("hash").isNotNull())
 
 
+def _spans(words: Column, n: int, exact: bool) -> Column:
+    """Hashes of every n words in a row, with their placeholders' values if exact: two spans of a power of two cover n."""
+    hashes, size = F.transform(words, lambda w: F.xxhash64(w if exact else _kind(w))), 1
+    pair = lambda h, step: F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    while 2 * size <= n:
+        hashes, size = pair(hashes, size), 2 * size
+    if n > size:
+        hashes = pair(hashes, n - size)
+    return F.when(F.size(words) >= n, F.slice(hashes, 1, F.greatest(F.size(words) - n + 1, F.lit(0))))
+
+
+def _whole_items(told: DataFrame, ids: list[str], asked: DataFrame, window: int, literals: int) -> DataFrame | None:
+    """Hits of items (item_id, words) without a window of enough literals: each is one window of its whole length.
+
+    Of fewer than `literals` literals, its values must be the item's. It is found by as many of its words as a window has, those
+    with the most literals, and then compared whole; so documents are hashed once for each length up to `window` at most.
+    """
+    plain = lambda words: F.size(F.filter(words, lambda w: ~w.startswith("<")))
+    size = F.size("words")
+    starts = F.sequence(F.lit(1), F.greatest(size - window + 1, F.lit(1)))
+    counts = F.transform(starts, lambda i: F.struct(plain(F.slice("words", i, window)).alias("n"), (-i).alias("first")))
+    short = (asked.filter(size > 0).withColumn("top", F.array_max(counts)).filter((size < window) | (F.col("top.n") < literals))
+             .select("item_id", "words", (-F.col("top.first") - 1).alias("skip"), F.least(size, F.lit(window)).alias("n"), (plain("words") < literals).alias("exact")))
+    out = None
+    for n, exact in sorted(tuple(r) for r in short.select("n", "exact").distinct().collect()):
+        own = short.filter((F.col("n") == n) & (F.col("exact") == exact)).select(
+            "item_id", "skip", F.col("words").alias("item_words"), F.get(_spans(F.slice("words", F.col("skip") + 1, n), n, exact), F.lit(0)).alias("hash"))
+        at = told.select(*ids, "words", F.posexplode_outer(_spans(F.col("words"), n, exact)).alias("at", "hash")).filter(F.col("hash").isNotNull())
+        met = at.join(own, "hash").filter(F.col("at") >= F.col("skip")).select(
+            *ids, "item_id", (F.col("at") - F.col("skip")).alias("distance"), F.lit(0).alias("item_at"), F.lit(1).alias("item_windows"), "item_words",
+            F.slice("words", F.col("at") - F.col("skip") + 1, F.size("item_words")).alias("doc_words"))
+        met = met.filter(F.col("doc_words") == F.col("item_words") if exact else F.transform("doc_words", _kind) == F.transform("item_words", _kind))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def _row(text: Column) -> Column:
     """A key of the text, by which rows are judged one by one: rows of equal texts hold the same items."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
@@ -60,7 +96,8 @@ def _row(text: Column) -> Column:
 def _matches(own: DataFrame, benchmark: DataFrame, keys: list[str], window: int, literals: int, broadcast_windows: int) -> DataFrame:
     """Best consistent match of each `keys` and item_id, for rows of `own` (keys, row, text); see leaks()."""
     items = benchmark.select(benchmark["item_id"].alias("item_id"), benchmark["text"].cast("string").alias("text")).filter(F.col("item_id").isNotNull())
-    asked = _windows(items.select("item_id", marked_words(F.col("text")).alias("words")), window).select(
+    items = items.select("item_id", marked_words(F.col("text")).alias("words"))
+    asked = _windows(items, window).select(
         "item_id", F.col("at").alias("item_at"), "hash", F.slice("words", F.col("at") + 1, window).alias("item_words"),
         (F.size("words") - window + 1).alias("item_windows"))
     asked = asked.filter(F.size(F.filter("item_words", lambda w: ~w.startswith("<"))) >= literals)
@@ -68,12 +105,16 @@ def _matches(own: DataFrame, benchmark: DataFrame, keys: list[str], window: int,
     if hashes.limit(broadcast_windows + 1).count() <= broadcast_windows:
         hashes = F.broadcast(hashes)
     ids = list(dict.fromkeys([*keys, "row"]))
-    told = _windows(own.select(*ids, marked_words(F.col("text")).alias("words")), window)
+    marked = own.select(*ids, marked_words(F.col("text")).alias("words"))
+    told = _windows(marked, window)
     told = told.join(hashes, "hash").select("hash", *ids, F.col("at").alias("doc_at"), F.slice("words", F.col("at") + 1, window).alias("doc_words"))
     hits = told.join(asked, "hash").filter(F.transform("doc_words", _kind) == F.transform("item_words", _kind))
+    hits = hits.select(*ids, "item_id", (F.col("doc_at") - F.col("item_at")).alias("distance"), "item_at", "item_windows", "item_words", "doc_words")
+    whole = _whole_items(marked, ids, items, window, literals)
+    hits = hits if whole is None else hits.unionByName(whole)
     slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda p: p["item_words"].startswith("<"))
     # A match has a row for each window of the item at most, so what is gathered is bounded by the item's length.
-    matches = hits.select(*ids, "item_id", (F.col("doc_at") - F.col("item_at")).alias("distance"), "item_at", "item_windows", slots.alias("slots")).groupBy(
+    matches = hits.select(*ids, "item_id", "distance", "item_at", "item_windows", slots.alias("slots")).groupBy(
         *ids, "item_id", "distance").agg(F.countDistinct("item_at").alias("n_windows"), F.max("item_windows").alias("item_windows"),
                                          F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     differ = F.filter("slots", lambda p: p["item_words"] != p["doc_words"])
@@ -88,8 +129,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     """Pairs (doc_id, item_id) of documents (doc_id, text) that hold a benchmark item (item_id, text), as posed or with other values.
 
     n_windows: windows that agree, coverage: their share of the item's, n_slots: differing values, exact: whether all values are the
-    item's. A pair's best consistent match counts. Items of fewer than `window` words have no windows and are not
-    searched for; null and empty texts have none either. Rows with a null id on either side are left out of the pairs; rows that
+    item's. A pair's best consistent match counts. An item without a window of `literals` literals, as one of fewer than `window`
+    words, is one window of its whole length, with its own values where it has fewer literals; null and empty texts have none. Rows with a null id on either side are left out of the pairs; rows that
     repeat an id are matched each, and the best of them counts. Empty tables give no pairs; further columns are not read.
     """
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).filter(F.col("doc_id").isNotNull())

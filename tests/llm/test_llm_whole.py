@@ -97,3 +97,13 @@ def test_rows_of_one_id_are_matched_each(spark):
     docs = spark.createDataFrame([(1, item), (1, item.replace("2", "9"))], "doc_id long, text string")
     found = leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert len(found) == 1 and found[0].exact
+
+
+def test_items_without_a_window(spark):
+    items = {1: "What is the capital of France?", 2: "Who?", 3: "too short", 4: "12 34 56 78 and 9 10 11 12 13", 5: "one 1 two 2 3 4 three 5 6 7 8 9 four 10 five", 6: "", 7: "add 3 and 4"}
+    docs = {1: "so, what is the capital of Spain? who", 2: "it is too short", 3: "x 12 34 56 78 and 9 10 11 12 13 y", 4: "x 12 34 56 78 and 9 10 11 12 14 y", 5: "z one 8 two 2 3 4 three 5 6 7 8 9 four 10 five",
+            6: "add 3 and 5", 7: "we add 3 and 4", 8: "", 9: "four 10 five one"}
+    docs[5] = docs[5].replace("one 8", "one 1")
+    found = {(r.doc_id, r.item_id): (r.exact, r.coverage) for r in leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+                                                                         spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert found == {(1, 1): (False, 1.0), (1, 2): (True, 1.0), (2, 3): (True, 1.0), (3, 4): (True, 1.0), (5, 5): (True, 1.0), (7, 7): (True, 1.0)}
