@@ -137,3 +137,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals:
     best = _matches(own.withColumn("row", _row(F.col("text"))), benchmark, ["doc_id"], window, literals, broadcast_windows)
     return best.select("doc_id", "item_id", F.col("match.n_windows").alias("n_windows"), F.col("match.coverage").alias("coverage"),
                        (-F.col("match.same")).cast("long").alias("n_slots"), (F.col("match.same") == 0).alias("exact"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose own text holds no item of the benchmark; null and repeated ids are judged row by row."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    own = docs.select(docs["text"].cast("string").alias("text")).withColumn("row", _row(F.col("text")))
+    found = _matches(own, benchmark, ["row"], WINDOW, LITERALS, BROADCAST_WINDOWS).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, _row(docs["text"].cast("string"))).join(found, row, "left_anti").drop(row)

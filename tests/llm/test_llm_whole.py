@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from geoloom.llm import jaccard
 from geoloom.llm.decontamination import leaks
@@ -107,3 +108,11 @@ def test_items_without_a_window(spark):
     found = {(r.doc_id, r.item_id): (r.exact, r.coverage) for r in leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
                                                                          spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     assert found == {(1, 1): (False, 1.0), (1, 2): (True, 1.0), (2, 3): (True, 1.0), (3, 4): (True, 1.0), (5, 5): (True, 1.0), (7, 7): (True, 1.0)}
+
+
+def test_decontamination_judges_row_by_row(spark, tmp_path):
+    item = "Every shop on the long street sells 2 boxes of fresh fruit that stay good in summer."
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, item, "a"), (None, "clean", "b"), (1, item, "c"), (1, "clean too", "d"), (2, None, "e"), (3, "", "f")], "doc_id long, text string, row string")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and {r.row for r in left.collect()} == {"b", "d", "e", "f"}
