@@ -6,21 +6,24 @@ import public_tokenizers
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm.alignment import aligned_tokens
 from geoloom.llm.decontamination import leaks
 from geoloom.llm.html_text import extract_text
 from geoloom.llm.jaccard import jaccard_groups
 from geoloom.llm.licenses import scan_licenses
+from geoloom.llm.line_dedup import deduplicated
 from geoloom.llm.packing import pack
 from geoloom.llm.quality_classifier import score, train
 from geoloom.llm.quality_rules import quality_rules
 from geoloom.llm.records import token_records
 from geoloom.llm.token_counts import token_counts
 from geoloom.llm.url_filters import DOMAIN, HOST, PATH, URL, bare_url, filter_urls
+from geoloom.llm.whitening import whitened
 from geoloom.session import ship_package
 
 QUERIES = {}
 ORACLE = {}
-BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -138,3 +141,25 @@ def op9_quality_classifier(table):
 @query()
 def op10_benchmark_leaks(table):
     return leaks(table("documents"), table("benchmark"))
+
+
+@query()
+def op11_embedding_whitening(table):
+    return whitened(table("embeddings"))
+
+
+@query(r"""
+with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+shared as (select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+judged as (select k.*, s.key is null or k.doc_id = s.keeper as stays from keyed k left join shared s on s.key = k.key)
+select doc_id, count(*) as n_lines, count(*) filter (where not stays) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where stays), '')) as kept_sha256 from judged group by doc_id""")
+def op12_line_dedup(table):
+    return deduplicated(table("documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op13_token_alignment(table):
+    return aligned_tokens(table("documents"), BYTE_BPE, PIECES)
