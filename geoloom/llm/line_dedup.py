@@ -1,8 +1,8 @@
 """Lines that many documents share, dropped from all of them but one.
 
 Long lines of every text are hashed and exploded; a hash that enough documents hold is dropped in all but the document of
-the largest id; what is left is put together again by position. Texts themselves stay where they are: only digests and
-positions of lines are exchanged.
+the largest id; what is left is put together again by position. Digests and positions of lines are exchanged first, whole texts
+once, with the positions that they lose.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from geoloom.session import shared_dir
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_LINES = 500_000  # repeated digests up to this many are sent to all tasks, about 60 MB there; more are joined by a shuffle
-BROADCAST_DROPS = 2_000_000  # so are positions of dropped lines: 8 MB and 100 bytes a document that loses some
 
 
 def line_key(line: Column) -> Column:
@@ -62,9 +61,7 @@ def deduplicated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, folder
     drops = _read_back(lost.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop")), f"{root}/drops")
 
     marked = own.withColumn("text_hash", F.xxhash64("text"))
-    gone = drops.withColumnsRenamed({"doc_id": "drop_doc", "text_hash": "drop_hash"})
-    if gone.agg(F.coalesce(F.sum(F.size("drop") + 25), F.lit(0))).first()[0] <= BROADCAST_DROPS:
-        gone = F.broadcast(gone)
+    gone = drops.withColumnsRenamed({"doc_id": "drop_doc", "text_hash": "drop_hash"}).hint("merge")
     joined = marked.join(gone, (marked["text_hash"] == gone["drop_hash"]) & marked["doc_id"].eqNullSafe(gone["drop_doc"]), "left")
     split = computed_once(joined.select("doc_id", "text", "drop"), parts=F.when(F.col("drop").isNotNull(), F.split("text", "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drop"))
