@@ -2,8 +2,9 @@
 
 Ends of tokens in bytes go into two dictionaries from end to index; ends that both hold cut the two id lists into groups, and
 inside a group every two tokens that overlap are linked. A text is taken apart where no token of either
-vocabulary can reach across: before white space that follows something else. Most parts are words met before, so each is aligned
-once and remembered, and a text's groups are those of its parts in a row. Parts not met before are aligned many as one text.
+vocabulary can reach across: before white space that follows something else, and between a letter and a mark. Most parts are words
+met before, so each is aligned once and remembered, and a text's groups are those of its parts in a row. Parts not met before
+are aligned many as one text.
 """
 
 from __future__ import annotations
@@ -25,40 +26,23 @@ from geoloom.session import shared_dir
 KEPT_PARTS = 150_000  # parts remembered in a Python worker, and as many of the time before; further ones are worked out anew
 PARTS_AT_ONCE = 20_000  # parts of a text joined at a time, which bounds memory
 BROADCAST_PAIRS = 2_000_000  # counts of id pairs up to this many are sent to all tasks, about 100 MB there; more are joined by a shuffle
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _ODD = re.compile(r"[\x1c-\x1f\u180e]")  # regex engines differ on whether these are white space
 
 
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
-    """Groups (first and behind the last index in a, the same in b, links) of two token lists over the same bytes; links are pairs of indexes."""
-    ends = []
-    for sizes in (a_sizes, b_sizes):
-        at, own = 0, {}
-        for i, size in enumerate(sizes):
-            at += size
-            own[at] = i
-        ends.append(own)
-    end_a, end_b = ends
-    groups, i, j, start = [], 0, 0, 0
-    for end in sorted(end_a.keys() & end_b.keys()):
-        k, m = end_a[end] + 1, end_b[end] + 1
-        if k - i == 1 or m - j == 1:
-            links = [(x, y) for x in range(i, k) for y in range(j, m)]
-        else:
-            links, x, y, x_end, y_end = [], i, j, start + a_sizes[i], start + b_sizes[j]
-            while True:  # the token that ends first gives way to the next one
-                links.append((x, y))
-                if x_end == y_end == end:
-                    break
-                step_a, step_b = x_end <= y_end, y_end <= x_end
-                if step_a:
-                    x += 1
-                    x_end += a_sizes[x]
-                if step_b:
-                    y += 1
-                    y_end += b_sizes[y]
-        groups.append((i, k, j, m, links))
-        i, j, start = k, m, end
-    return groups
+def align(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Groups and links of two lists of token sizes in bytes over the same text.
+
+    (Index behind the last token in a, the same in b, index behind the last link) of each group, then (index in a, in b) of
+    each link, in order. A stretch between two neighbouring ends of either list lies in one token of each: it is their link.
+    """
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    end_a, end_b = (dict(zip(e.tolist(), range(1, len(e) + 1))) for e in (a_ends, b_ends))
+    common = sorted(end_a.keys() & end_b.keys())
+    ends = np.union1d(a_ends, b_ends)
+    return (np.array([end_a[e] for e in common], np.int64), np.array([end_b[e] for e in common], np.int64), np.searchsorted(ends, common, "right"),
+            np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -85,10 +69,17 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = np.array([len(t) for t in self.a_bytes]), np.array([len(t) for t in self.b_bytes])
-        # White space that a piece of B joins to what stands before it ties two parts together; a space that does forbids any cut.
-        tied = set(re.findall(r"[^\s▁]([\s▁])", "\x00".join(p for i, p in enumerate(pieces) if not self.b.is_byte(i))))
+        # White space or a mark that a piece of B joins to what stands before it ties two parts together; a space that does forbids any cut.
+        plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
+        tied = {c for p in plain for c in re.findall(r"[^\s▁]([\s▁])", p)}
         tie = rf"(?:[{''.join(map(re.escape, sorted(tied)))}]\s*\S*)*" if tied else ""
-        self.parts = None if "▁" in tied or " " in tied else re.compile(rf"\s*\S+{tie}|\s+")
+        held = {c for p in plain for c in re.findall(rf"[{_LETTERS}]([{re.escape(_MARKS)}])", p)}
+        marks = "".join(re.escape(c) for c in _MARKS if c not in held)
+        self.parts = None if "▁" in tied or " " in tied else re.compile(rf"\s*+(?:[^\s{marks}]++(?<=[{_LETTERS}])(?=[{marks}])|\S+{tie})|\s+")
+        n_a, n_b = size, len(pieces)
+        self.written = [f"{i}{c}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for c in marks for i in range(n)]  # an id before each mark that may follow it
+        self.written_sizes = np.array([len(w) for w in self.written])
+        self.table = n_a, n_b
         self.young: dict[str, tuple[str, bytes, bytes]] = {}
         self.old: dict[str, tuple[str, bytes, bytes]] = {}
 
@@ -97,7 +88,7 @@ class Aligner:
         a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         b = self.b.encode(text[1:], num_threads=1)
         data = text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
         return a, b
 
@@ -106,27 +97,38 @@ class Aligner:
         tokens = self._tokens(text)
         if tokens is None:
             return None
-        a, b = tokens
-        a_sizes, b_sizes = self.a_sizes[a].tolist(), self.b_sizes[b].tolist()
-        groups = align(a, b, a_sizes, b_sizes)
-        a_names, b_names = list(map(str, a)), list(map(str, b))
-        written = [f"{a_names[i] if k - i == 1 else ','.join(a_names[i:k])}|{b_names[j] if m - j == 1 else ','.join(b_names[j:m])}" for i, k, j, m, _ in groups]
-        links = np.array([pair for g in groups for pair in g[4]], np.int64).reshape(-1, 2)
-        pairs = np.array(a, np.int64)[links[:, 0]] << 32 | np.array(b, np.int64)[links[:, 1]]
-        to_link = np.concatenate(([0], np.cumsum([len(g[4]) for g in groups])))
-        group_ends = np.concatenate(([0], np.cumsum(a_sizes)))[[g[1] for g in groups]]
+        a, b = (np.array(ids, np.int64) for ids in tokens)
+        a_to, b_to, link_to, link_a, link_b = align(self.a_sizes[a], self.b_sizes[b])
+        a_from, b_from, link_from = (np.append(0, x[:-1]) for x in (a_to, b_to, link_to))
+        # Each token's place among the written ids, where a group's a stand before its b.
+        (n_a, n_b), codes = self.table, np.empty(len(a) + len(b), np.int64)
+        a_marks, b_marks = a.copy(), b + 2 * n_a
+        a_marks[a_to - 1] += n_a
+        b_marks[b_to - 1] += n_b
+        codes[np.arange(len(a)) + np.repeat(b_from, a_to - a_from)] = a_marks
+        codes[np.arange(len(b)) + np.repeat(a_to, b_to - b_from)] = b_marks
+        written = "".join(map(self.written.__getitem__, codes.tolist()))
+        ends = np.cumsum(self.written_sizes[codes])[a_to + b_to - 1]
+        pairs = (a[link_a] << 32 | b[link_b]).tobytes()
+        group_ends = np.cumsum(self.a_sizes[a])[a_to - 1]
         first = np.searchsorted(group_ends, starts, "right")  # a part begins behind the group that ends there
-        last = np.append(first[1:], len(groups))
-        a_at, b_at = np.array([g[0] for g in groups] + [len(a)]), np.array([g[2] for g in groups] + [len(b)])
-        counts = np.stack((a_at[last] - a_at[first], b_at[last] - b_at[first], last - first), 1).astype("<u4")
-        return [(";".join(written[f:e]), pairs[to_link[f]:to_link[e]].tobytes(), c.tobytes()) for f, e, c in zip(first.tolist(), last.tolist(), counts)]
+        last = np.append(first[1:], len(a_to)) - 1
+        counts = np.stack((a_to[last] - a_from[first], b_to[last] - b_from[first], last - first + 1), 1).astype("<u4").tobytes()
+        words = [written[f:e] for f, e in zip(np.append(0, ends)[first].tolist(), (ends[last] - 1).tolist())]
+        links = [pairs[f:e] for f, e in zip((8 * link_from[first]).tolist(), (8 * link_to[last]).tolist())]
+        return list(zip(words, links, [counts[k:k + 12] for k in range(0, len(counts), 12)]))
 
     def _learn(self, parts: list[str]) -> dict[str, tuple[str, bytes, bytes] | None]:
-        """Parts aligned as one text behind a short one; where that can't be taken apart, each half by itself."""
-        sizes = [2, *(len(p.encode()) for p in parts)]
-        found = self._aligned(" x" + "".join(parts), np.cumsum([0, *sizes[:-1]]))
+        """Parts aligned as one text, those that begin with a mark behind a letter; where that can't be taken apart, each half by itself."""
+        segments, mine = [" x"], []
+        for part in parts:
+            if not part[0].isspace():
+                segments.append(" x")
+            mine.append(len(segments))
+            segments.append(part)
+        found = self._aligned("".join(segments), np.cumsum([0, *(len(s.encode()) for s in segments[:-1])]))
         if found:
-            return dict(zip(parts, found[1:]))
+            return dict(zip(parts, map(found.__getitem__, mine)))
         if len(parts) == 1:
             return {parts[0]: None}
         half = len(parts) // 2

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -80,6 +81,8 @@ def test_parts_equal_whole_texts(monkeypatch):
     monkeypatch.setattr(alignment, "KEPT_PARTS", 50)
     monkeypatch.setattr(alignment, "PARTS_AT_ONCE", 3)
     own, other = Aligner(BYTE_BPE, PIECES), Aligner(BYTE_BPE, PIECES)
+    assert own.parts.findall(" one two\r\n three\n") == [" one", " two\r\n three", "\n"]
+    assert own.parts.findall(" it's end.x, (so) ") == [" it's", " end", ".x,", " (so)", " "]
     other.parts = None
     every = texts() * 2
     for k in range(0, len(every), 40):
@@ -90,6 +93,7 @@ def test_parts_equal_whole_texts(monkeypatch):
 
 
 def test_align_covers_all_overlaps():
-    a, b = [2, 3, 1, 4, 2], [1, 1, 2, 5, 1, 2]
-    got = [p for g in align(list(range(5)), list(range(6)), a, b) for p in g[4]]
-    assert got == [(i, j) for i, (s, e) in enumerate(ranges(a)) for j, (u, v) in enumerate(ranges(b)) if max(s, u) < min(e, v)]
+    a, b = [2, 3, 1, 4, 2], [1, 1, 2, 6, 1, 1]
+    a_to, b_to, link_to, link_a, link_b = align(np.array(a), np.array(b))
+    assert list(zip(a_to.tolist(), b_to.tolist(), link_to.tolist())) == [(1, 2, 2), (4, 4, 6), (5, 6, 8)]
+    assert list(zip(link_a.tolist(), link_b.tolist())) == [(i, j) for i, (s, e) in enumerate(ranges(a)) for j, (u, v) in enumerate(ranges(b)) if max(s, u) < min(e, v)]
