@@ -1,13 +1,12 @@
 """Exact tests between two geometries, run on Arrow batches.
 
 Both boundaries are cut where they meet; the pieces and cut points of each are then placed inside,
-on or outside the other, and the named predicates follow from which combinations occur.
+on or outside the other, and the named predicates follow from which combinations occur. Segments find each other by
+their boxes through cells that fit them, so two shapes cost about their vertices and contacts, not their product.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -18,159 +17,403 @@ from geoloom.functions import geometry as g
 PREDICATES = ["intersects", "disjoint", "contains", "within", "equals", "touches", "crosses", "overlaps"]
 
 
-class _Shape:
-    def __init__(self, dim, xs, ys, sizes):
-        self.dim = int(dim)
-        self.pts = np.array([xs, ys], float).T
-        self.stops = np.cumsum(sizes, dtype=int)
-        self.segs, self.ends = np.empty((0, 4)), np.empty((0, 2))
-        if self.dim and len(self.pts) > 1:
-            joined = np.ones(len(self.pts) - 1, bool)
-            joined[self.stops[:-1] - 1] = False
-            self.segs = np.concatenate([self.pts[:-1], self.pts[1:]], axis=1)[joined]
-        if self.dim == 1:  # end positions met an odd number of times bound a set of lines
-            met = Counter()
-            for start, stop in zip([0, *self.stops[:-1]], self.stops):
-                met.update([tuple(self.pts[start]), tuple(self.pts[stop - 1])])
-            self.ends = np.array([tip for tip, times in met.items() if times % 2], float).reshape(-1, 2)
-
-    def near(self, p, eps):
-        """For each position, whether it lies on a segment (or vertex)."""
-        return _gap(p, self).min(axis=1) <= eps
-
-    def place(self, p, eps):
-        """'I', 'B' or 'E' for each position."""
-        out = np.full(len(p), "E")
-        if not len(p) or not len(self.pts):
-            return out
-        on = self.near(p, eps)
-        if self.dim == 2:
-            x1, y1, x2, y2 = self.segs.T
-            px, py = p[:, :1], p[:, 1:]
-            span = (y1 > py) != (y2 > py)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                hits = span & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
-            out[hits.sum(axis=1) % 2 == 1] = "I"
-            out[on] = "B"
-        else:
-            out[on] = "I"
-            if len(self.ends):
-                out[(np.abs(p[:, None] - self.ends[None]).max(axis=2) <= eps).any(axis=1)] = "B"
-        return out
-
-    def cut(self, other, eps):
-        """(cut points and vertices, piece midpoints) of this linework against another shape."""
-        x, y = self.segs[:, :1], self.segs[:, 1:2]
-        dx, dy = self.segs[:, 2:3] - x, self.segs[:, 3:] - y
-        length = np.hypot(dx, dy)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ox, oy = other.pts.T
-            t = ((ox - x) * dx + (oy - y) * dy) / length ** 2
-            touch = (np.abs((ox - x) * dy - (oy - y) * dx) / length <= eps) & (t > 0) & (t < 1)
-            ox, oy, ex, ey = other.segs.T
-            ex, ey = ex - ox, ey - oy
-            den = dx * ey - dy * ex
-            s = ((ox - x) * ey - (oy - y) * ex) / den
-            u = ((ox - x) * dy - (oy - y) * dx) / den
-            meet = (den != 0) & (s > 0) & (s < 1) & (u >= 0) & (u <= 1)
-        every = np.arange(len(self.segs))
-        of = np.concatenate([every, every, touch.nonzero()[0], meet.nonzero()[0]])
-        at = np.concatenate([np.zeros(len(every)), np.ones(len(every)), t[touch], s[meet]])
-        order = np.lexsort((at, of))
-        of, at = of[order], at[order]
-        corner, way = self.segs[of, :2], np.column_stack([dx[of, 0], dy[of, 0]])
-        pieces = (of[1:] == of[:-1]) & ((at[1:] - at[:-1]) * length[of[1:], 0] > 2 * eps)
-        mids = (corner[1:] + way[1:] * ((at[1:] + at[:-1]) / 2)[:, None])[pieces]
-        return np.concatenate([self.pts, corner + way * at[:, None]]), mids
-
-    def inner_points(self):
-        """At least one inside position for every connected part of an area."""
-        levels, found = np.unique(self.pts[:, 1]), []
-        x1, y1, x2, y2 = self.segs.T
-        for ring in np.split(self.pts, self.stops[:-1]):
-            above = levels[levels > ring[:, 1].min()]
-            if not len(above):
+PAIRS_AT_ONCE = 2_000_000  # candidate pairs looked at together, which bounds memory
+
+
+def _in_cells(boxes, size, origin):
+    """(item, cell) for each cell that a box of at most the cell's size covers."""
+    lo, hi = (np.floor((boxes[:, k:k + 2] - origin) / size).astype(np.int64) for k in (0, 2))
+    items, cells = [], []
+    for dx in range(3):  # two a side but for rounding
+        for dy in range(3):
+            at = lo + (dx, dy)
+            covered = np.flatnonzero((at <= hi).all(axis=1))
+            items.append(covered)
+            cells.append(at[covered])
+    return np.concatenate(items), np.concatenate(cells)
+
+
+def box_pairs(a, b):
+    """Blocks of (index in a, index in b) of every two boxes (minx, miny, maxx, maxy) that meet, each pair once.
+
+    Cells come in sizes that grow by four; a box goes to the size it fits, and two boxes meet at the coarser of theirs, in
+    the cell that holds the lower left corner of what they share. So the work follows the boxes and their neighbours.
+    """
+    if not len(a) or not len(b):
+        return
+    if len(a) * len(b) <= 1 << 14:  # a plain table is quicker for few boxes
+        yield np.nonzero(((a[:, None, :2] <= b[None, :, 2:]) & (b[None, :, :2] <= a[:, None, 2:])).all(axis=2))
+        return
+    extents = [np.maximum(x[:, 2] - x[:, 0], x[:, 3] - x[:, 1]) for x in (a, b)]
+    every, origin = np.concatenate(extents), np.minimum(a[:, :2].min(axis=0), b[:, :2].min(axis=0))
+    span = max((np.maximum(a[:, 2:].max(axis=0), b[:, 2:].max(axis=0)) - origin).max(), np.finfo(float).tiny)
+    some = every[every > 0]
+    cell = max(np.quantile(some, 0.1) if len(some) else span / np.sqrt(len(every)), span * 2.0 ** -40)
+    la, lb = (np.ceil(np.log(np.maximum(e, cell) / cell) / np.log(4) - 1e-12).astype(int) for e in extents)
+    for level in np.unique(np.concatenate((la, lb))):
+        size = cell * 4.0 ** level * (1 + 1e-9)
+        for mine, theirs in ((la == level, lb <= level), (la < level, lb == level)):
+            i, j = np.flatnonzero(mine), np.flatnonzero(theirs)
+            if not len(i) or not len(j):
                 continue
-            y = (ring[:, 1].min() + above[0]) / 2
-            span = (y1 > y) != (y2 > y)
-            x = np.sort(x1[span] + (y - y1[span]) * (x2[span] - x1[span]) / (y2[span] - y1[span]))
-            found += [((a + b) / 2, y) for a, b in zip(x[::2], x[1::2]) if b > a]
-        return np.array(found).reshape(-1, 2)
-
-
-def _gap(p, shape):
-    """Distances from positions to the segments (vertices for point sets) of a shape."""
-    if not len(shape.segs):
-        return np.hypot(p[:, :1] - shape.pts[:, 0], p[:, 1:] - shape.pts[:, 1])
-    x1, y1, x2, y2 = shape.segs.T
+            (ia, ca), (jb, cb) = _in_cells(a[i], size, origin), _in_cells(b[j], size, origin)
+            ka, kb = (c[:, 0] * np.int64(0x9E3779B97F4A7C1) + c[:, 1] for c in (ca, cb))
+            order = np.argsort(kb, kind="stable")
+            first, last = (np.searchsorted(kb[order], ka, side) for side in ("left", "right"))
+            ends = np.cumsum(last - first)
+            at = 0
+            while at < len(ka):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+                counts = (last - first)[at:stop]
+                x = np.repeat(np.arange(at, stop), counts)
+                y = order[np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[at:stop], counts)]
+                p, q = a[i[ia[x]]], b[j[jb[y]]]
+                corner = np.floor((np.maximum(p[:, :2], q[:, :2]) - origin) / size).astype(np.int64)
+                meet = (p[:, :2] <= q[:, 2:]).all(axis=1) & (q[:, :2] <= p[:, 2:]).all(axis=1) & (corner == ca[x]).all(axis=1) & (ca[x] == cb[y]).all(axis=1)
+                yield i[ia[x[meet]]], j[jb[y[meet]]]
+                at = stop
+
+
+def _grouped_pairs(a, a_pair, b, b_pair):
+    """box_pairs within each pair of shapes; both lists are in the order of their pairs. Small lists meet as a plain table, many tables at once."""
+    if not len(a) or not len(b):
+        return
+    n = max(a_pair[-1], b_pair[-1]) + 1
+    a_from, b_from = (np.searchsorted(p, np.arange(n + 1)) for p in (a_pair, b_pair))
+    a_count, b_count = np.diff(a_from), np.diff(b_from)
+    small = a_count * b_count <= 1 << 12
+    rows = np.flatnonzero(small[a_pair] & (b_count[a_pair] > 0))
+    ends = np.cumsum(b_count[a_pair[rows]])
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE)))
+        x, y = _expanded(b_from[a_pair[rows[at:stop]]], b_count[a_pair[rows[at:stop]]])
+        x = rows[at:stop][x]
+        p, q = a[x], b[y]
+        meet = (p[:, 0] <= q[:, 2]) & (q[:, 0] <= p[:, 2]) & (p[:, 1] <= q[:, 3]) & (q[:, 1] <= p[:, 3])
+        yield x[meet], y[meet]
+        at = stop
+    for g in np.flatnonzero(~small):
+        for i, j in box_pairs(a[a_from[g]:a_from[g + 1]], b[b_from[g]:b_from[g + 1]]):
+            yield i + a_from[g], j + b_from[g]
+
+
+def _expanded(starts, counts):
+    """(index of a run, item) of all items of runs of given starts and lengths."""
+    run = np.repeat(np.arange(len(counts)), counts)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+
+
+def _boxes(segs, eps=0.0):
+    eps = np.reshape(eps, (-1, 1))
+    return np.concatenate((np.minimum(segs[:, :2], segs[:, 2:]) - eps, np.maximum(segs[:, :2], segs[:, 2:]) + eps), axis=1)
+
+
+def _dots(p, eps=0.0):
+    eps = np.reshape(eps, (-1, 1))
+    return np.concatenate((p - eps, p + eps), axis=1)
+
+
+def _stabbed(ys, y_pair, segs, s_pair):
+    """(index of a height, x where a segment of its pair spans it), in blocks."""
+    flat = lambda lo, hi: np.column_stack((np.zeros(len(lo)), lo, np.zeros(len(lo)), hi))
+    for i, j in _grouped_pairs(flat(ys, ys), y_pair, flat(np.minimum(segs[:, 1], segs[:, 3]), np.maximum(segs[:, 1], segs[:, 3])), s_pair):
+        x1, y1, x2, y2 = segs[j].T
+        span = (y1 > ys[i]) != (y2 > ys[i])
+        i, x1, y1, x2, y2 = i[span], x1[span], y1[span], x2[span], y2[span]
+        yield i, (x2 - x1) * (ys[i] - y1) / (y2 - y1) + x1
+
+
+def _gaps(p, segs):
+    """The distance of each position to the segment beside it."""
+    x1, y1, x2, y2 = segs.T
     dx, dy = x2 - x1, y2 - y1
-    sq = np.where(dx * dx + dy * dy == 0, 1.0, dx * dx + dy * dy)
-    t = np.clip(((p[:, :1] - x1) * dx + (p[:, 1:] - y1) * dy) / sq, 0, 1)
-    return np.hypot(p[:, :1] - (x1 + t * dx), p[:, 1:] - (y1 + t * dy))
-
-
-def _samples(a, b, eps):
-    """Which (part of a, place in b) combinations occur, and those of whole pieces alone."""
-    if a.dim == 0:
-        return {"I" + c for c in b.place(a.pts, eps)}, set()
-    nodes, mids = a.cut(b, eps)
-    places = b.place(np.concatenate([nodes, mids]), eps)
-    at_nodes, at_mids = places[:len(nodes)], places[len(nodes):]
-    if a.dim == 2:
-        pieces = {"B" + c for c in at_mids}
-        return pieces | {"B" + c for c in at_nodes}, pieces
-    ends = (np.abs(nodes[:, None] - a.ends[None]).max(axis=2) <= eps).any(axis=1) if len(a.ends) else np.zeros(len(nodes), bool)
-    pieces = {"I" + c for c in at_mids}
-    return pieces | {("B" if end else "I") + c for end, c in zip(ends, at_nodes)}, pieces
-
-
-def _relate(a, b):
-    """Bits of the predicates that hold for a and b."""
-    if not len(a.pts) or not len(b.pts):
-        return 1 << PREDICATES.index("disjoint")
-    eps = 1e-9 * max(1.0, np.abs(a.pts).max(), np.abs(b.pts).max()) / 1e2
-    ab, ab_pieces = _samples(a, b, eps)
-    ba, ba_pieces = _samples(b, a, eps)
-    m = ab | {pair[::-1] for pair in ba}
-    if a.dim == 2 and b.dim < 2:
-        m.add("IE")
-    if b.dim == 2 and a.dim < 2:
-        m.add("EI")
-    if a.dim == b.dim == 2:
-        m |= ({"II", "EI"} if "BI" in ab_pieces else set()) | ({"II", "IE"} if "BI" in ba_pieces else set())
-        m |= ({"IE"} if "BE" in ab_pieces else set()) | ({"EI"} if "BE" in ba_pieces else set())
-        if "BI" not in ab_pieces and "BI" not in ba_pieces:
-            m |= {"I" + c for c in b.place(a.inner_points(), eps) if c != "B"}
-            m |= {c + "I" for c in a.place(b.inner_points(), eps) if c != "B"}
-    meet, inside = bool(m & {"II", "IB", "BI", "BB"}), "II" in m
-    long = "II" in ab_pieces
+    sq = dx * dx + dy * dy
+    t = np.clip(((p[..., 0] - x1) * dx + (p[..., 1] - y1) * dy) / np.where(sq == 0, 1.0, sq), 0, 1)
+    return np.hypot(p[..., 0] - (x1 + t * dx), p[..., 1] - (y1 + t * dy))
+
+
+def _ways(segs):
+    x, y, ex, ey = segs.T
+    return x, y, ex - x, ey - y
+
+
+class _Listed:
+    """Rows of an array by their owner, in the owners' order, and the rows of a choice of owners."""
+
+    def __init__(self, rows, owner, owners):
+        self.rows, self.owner = rows, owner
+        self.starts = np.searchsorted(owner, np.arange(owners + 1))
+
+    def of(self, chosen):
+        """(rows, index in `chosen`) of every chosen owner, which may be chosen more than once."""
+        pair, at = _expanded(self.starts[chosen], np.diff(self.starts)[chosen])
+        return self.rows[at], pair
+
+
+class Shapes:
+    """Many geometries as flat arrays, each built once however many pairs it is in."""
+
+    def __init__(self, dims, xs, ys, sizes):
+        n = len(dims)
+        self.dim = np.array(dims, int)
+        count = np.array([len(x) for x in xs])
+        pts = np.column_stack([np.concatenate([np.asarray(v, float) for v in c] or [np.zeros(0)]) for c in (xs, ys)])
+        owner = np.repeat(np.arange(n), count)
+        part = np.concatenate([np.asarray(v, int) for v in sizes] or [np.zeros(0, int)])
+        part_owner = np.repeat(np.arange(n), [len(v) for v in sizes])
+        part_owner, part = part_owner[part > 0], part[part > 0]
+        stops = np.cumsum(part)
+        self.count, self.pts = count, _Listed(pts, owner, n)
+        self.reach = np.zeros(n)
+        np.maximum.at(self.reach, owner, np.abs(pts).max(axis=1) if len(pts) else np.zeros(0))
+        opens = np.zeros(len(pts), bool)
+        opens[stops - part] = True
+        joined = ~np.append(opens[1:], True) & (self.dim[owner] > 0) if len(pts) else opens
+        at = np.flatnonzero(joined)
+        segs = np.concatenate((pts[at], pts[np.minimum(at + 1, max(len(pts) - 1, 0))]), axis=1)
+        self.segs = _Listed(np.column_stack((segs, opens[at])), owner[at], n)  # the last column marks segments that begin a part
+        solid = np.isin(np.arange(n), owner[at])
+        bare = ~solid[owner]
+        walls, wall_owner = np.concatenate((segs, np.tile(pts[bare], 2))), np.concatenate((owner[at], owner[bare]))
+        order = np.argsort(wall_owner, kind="stable")
+        self.walls = _Listed(walls[order], wall_owner[order], n)  # segments, or vertices of shapes without any
+        lone = (stops - 1)[(part == 1) | (self.dim[part_owner] == 0)] if len(part) else stops
+        lone = np.flatnonzero((self.dim[owner] == 0) | np.isin(np.arange(len(pts)), lone))
+        self.lone = _Listed(pts[lone], owner[lone], n)
+        lines = self.dim[part_owner] == 1
+        tips = np.column_stack((np.repeat(part_owner[lines], 2).astype(float), pts[np.column_stack((stops - part, stops - 1))[lines].ravel()]))
+        tips, times = np.unique(tips, axis=0, return_counts=True) if len(tips) else (tips, np.zeros(0, int))
+        tips = tips[times % 2 == 1]  # end positions met an odd number of times bound a set of lines
+        self.ends = _Listed(tips[:, 1:], tips[:, 0].astype(int), n)
+        self.inner = _Listed(*self._inner(pts, owner, stops - part, part_owner), n)
+
+    def _inner(self, pts, owner, first, part_owner):
+        """At least one inside position for every connected part of each area."""
+        rings = np.flatnonzero(self.dim[part_owner] == 2)
+        if not len(rings):
+            return np.empty((0, 2)), np.zeros(0, int)
+        lows = np.minimum.reduceat(pts[:, 1], first)[rings]
+        values, rank = np.unique(pts[:, 1], return_inverse=True)
+        keys = np.unique(owner * len(values) + rank)
+        above = np.searchsorted(keys, part_owner[rings] * len(values) + np.searchsorted(values, lows), "right")
+        tall = np.flatnonzero(above < len(keys))
+        tall = tall[keys[above[tall]] // len(values) == part_owner[rings[tall]]]
+        ys, mine = (lows[tall] + values[keys[above[tall]] % len(values)]) / 2, part_owner[rings[tall]]
+        found = list(_stabbed(ys, mine, self.segs.rows[:, :4], self.segs.owner))
+        if not found:
+            return np.empty((0, 2)), np.zeros(0, int)
+        ring, x = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((x, ring))
+        ring, x = ring[order], x[order]
+        place = np.arange(len(ring)) - np.searchsorted(ring, ring)
+        opening = np.flatnonzero((place[:-1] % 2 == 0) & (ring[1:] == ring[:-1]) & (x[1:] > x[:-1]))
+        return np.column_stack(((x[opening] + x[opening + 1]) / 2, ys[ring[opening]])), mine[ring[opening]]
+
+
+OUT, EDGE, IN = 0, 1, 2  # where a position is
+
+
+def _place(shapes, chosen, p, pair, eps, begins=None):
+    """OUT, EDGE or IN for positions of pairs against the chosen shapes; `begins` marks positions that don't follow the one before on a line cut at each contact."""
+    dim, on = shapes.dim[chosen], np.zeros(len(p), bool)
+    walls, w_pair = shapes.walls.of(chosen)
+    for i, j in _grouped_pairs(_dots(p), pair, _boxes(walls, eps[w_pair]), w_pair):
+        on[i[_gaps(p[i], walls[j]) <= eps[pair[i]]]] = True
+    out = np.where(on, np.where(dim[pair] == 2, EDGE, IN), OUT)
+    ends, e_pair = shapes.ends.of(chosen)
+    for i, _ in _grouped_pairs(_dots(p), pair, _dots(ends, eps[e_pair]), e_pair):
+        out[i] = EDGE
+    if not len(p) or not (dim == 2).any():
+        return out
+    # Without a contact between them, neighbours on a line are at the same place: one of them is asked.
+    change = np.ones(len(p), bool) if begins is None else begins | np.concatenate(([True], (on[1:] != on[:-1]) | (pair[1:] != pair[:-1])))
+    first = np.flatnonzero(change)
+    last = np.append(first[1:], len(p)) - 1
+    asked = np.flatnonzero(~on[first] & (dim[pair[first]] == 2))
+    spot = ((first + last) // 2)[asked]
+    segs, s_pair = _only(shapes.segs, chosen, dim == 2)
+    right = np.zeros(len(spot), np.int64)
+    for i, x in _stabbed(p[spot, 1], pair[spot], segs[:, :4], s_pair):
+        right += np.bincount(i[p[spot[i], 0] < x], minlength=len(spot))
+    within = np.zeros(len(first), bool)
+    within[asked] = right % 2 == 1
+    out[np.repeat(within, last - first + 1)] = IN
+    return out
+
+
+def _only(listed, chosen, which):
+    """The rows of some of the chosen owners, by their index in `chosen`."""
+    kept = np.flatnonzero(which)
+    rows, pair = listed.of(chosen[kept])
+    return rows, kept[pair]
+
+
+def _cut(shapes, mine, other, eps):
+    """(positions along the lines of `mine` cut at each contact with `other`, their pairs, whether inside a piece, whether a part begins there)."""
+    segs, s_pair = shapes.segs.of(mine)
+    opens, segs = segs[:, 4] > 0, segs[:, :4]
+    theirs, t_pair = shapes.segs.of(other)
+    pts, p_pair = shapes.pts.of(other)
+    x, y, dx, dy = _ways(segs)
+    length, every = np.hypot(dx, dy), np.arange(len(segs))
+    of, at, wide = [every, every], [np.zeros(len(every)), np.ones(len(every))], _boxes(segs, eps[s_pair])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i, j in _grouped_pairs(wide, s_pair, _dots(pts), p_pair):
+            ox, oy = pts[j].T
+            t = ((ox - x[i]) * dx[i] + (oy - y[i]) * dy[i]) / length[i] ** 2
+            touch = (np.abs((ox - x[i]) * dy[i] - (oy - y[i]) * dx[i]) / length[i] <= eps[s_pair[i]]) & (t > 0) & (t < 1)
+            of.append(i[touch])
+            at.append(t[touch])
+        for i, j in _grouped_pairs(wide, s_pair, _boxes(theirs[:, :4]), t_pair):
+            ox, oy, ex, ey = _ways(theirs[j, :4])
+            den = dx[i] * ey - dy[i] * ex
+            s = ((ox - x[i]) * ey - (oy - y[i]) * ex) / den
+            u = ((ox - x[i]) * dy[i] - (oy - y[i]) * dx[i]) / den
+            meet = (den != 0) & (s > 0) & (s < 1) & (u >= 0) & (u <= 1)
+            of.append(i[meet])
+            at.append(s[meet])
+    of, at = np.concatenate(of), np.concatenate(at)
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    spot = lambda k, t: np.column_stack((x[k] + dx[k] * t, y[k] + dy[k] * t))
+    pieces = np.flatnonzero((of[1:] == of[:-1]) & ((at[1:] - at[:-1]) * length[of[1:]] > 2 * eps[s_pair[of[1:]]]))
+    nodes, mids = spot(of, at), spot(of[pieces], (at[pieces] + at[pieces + 1]) / 2)
+    row = np.argsort(np.concatenate((2 * np.arange(len(of)), 2 * pieces + 1)), kind="stable")
+    begins = opens[of] & np.concatenate(([True], of[1:] != of[:-1]))[:len(of)]
+    middle = np.repeat([False, True], (len(of), len(pieces)))
+    return np.concatenate((nodes, mids))[row], s_pair[np.concatenate((of, of[pieces]))][row], middle[row], np.concatenate((begins, np.zeros(len(pieces), bool)))[row]
+
+
+def _samples(shapes, mine, other, eps):
+    """Bits 3 * part of `mine` + place in `other` that occur in each pair, and those of whole pieces alone."""
+    dim, bits, whole = shapes.dim[mine], np.zeros(len(mine), int), np.zeros(len(mine), int)
+    spots, pair, middle, begins = _cut(shapes, mine, other, eps)
+    places = _place(shapes, other, spots, pair, eps, begins)
+    alone, a_pair = shapes.lone.of(mine)
+    nodes, n_pair = np.concatenate((spots[~middle], alone)), np.concatenate((pair[~middle], a_pair))
+    at_nodes = np.concatenate((places[~middle], _place(shapes, other, alone, a_pair, eps)))
+    order = np.argsort(n_pair, kind="stable")
+    nodes, n_pair, at_nodes = nodes[order], n_pair[order], at_nodes[order]
+    part = np.where(dim[n_pair] == 2, EDGE, IN)
+    ends, e_pair = shapes.ends.of(mine)
+    for i, _ in _grouped_pairs(_dots(nodes), n_pair, _dots(ends, eps[e_pair]), e_pair):
+        part[i] = EDGE
+    np.bitwise_or.at(bits, n_pair, 1 << (3 * part + at_nodes))
+    np.bitwise_or.at(whole, pair[middle], 1 << (3 * np.where(dim[pair[middle]] == 2, EDGE, IN) + places[middle]))
+    return bits | whole, whole
+
+
+def _relate(shapes, a, b):
+    """Bits of the predicates that hold for the shapes a and b of each pair."""
+    bit = lambda part, place: 1 << (3 * part + place)
+    has = lambda bits, *pairs: (bits & sum(bit(*p) for p in pairs)) != 0
+    da, db = shapes.dim[a], shapes.dim[b]
+    eps = 1e-9 * np.maximum(1.0, np.maximum(shapes.reach[a], shapes.reach[b])) / 1e2
+    m, a_whole = _samples(shapes, a, b, eps)
+    turned, b_whole = _samples(shapes, b, a, eps)
+    for x in (OUT, EDGE, IN):
+        for y in (OUT, EDGE, IN):
+            m |= np.where(turned & bit(x, y), bit(y, x), 0)
+    m |= np.where((da == 2) & (db < 2), bit(IN, OUT), 0) | np.where((db == 2) & (da < 2), bit(OUT, IN), 0)
+    areas = (da == 2) & (db == 2)
+    into, back = areas & has(a_whole, (EDGE, IN)), areas & has(b_whole, (EDGE, IN))
+    m |= np.where(into, bit(IN, IN) | bit(OUT, IN), 0) | np.where(back, bit(IN, IN) | bit(IN, OUT), 0)
+    m |= np.where(areas & has(a_whole, (EDGE, OUT)), bit(IN, OUT), 0) | np.where(areas & has(b_whole, (EDGE, OUT)), bit(OUT, IN), 0)
+    open_ = areas & ~into & ~back
+    for mine, other, swap in ((a, b, False), (b, a, True)):
+        inner, pair = _only(shapes.inner, mine, open_)
+        places = _place(shapes, other, inner, pair, eps)
+        sure = places != EDGE
+        np.bitwise_or.at(m, pair[sure], np.where(swap, 1 << (3 * places + IN), 1 << (3 * IN + places))[sure])
+    meet, inside, long = has(m, (IN, IN), (IN, EDGE), (EDGE, IN), (EDGE, EDGE)), has(m, (IN, IN)), has(a_whole, (IN, IN))
     holds = {
-        "intersects": meet, "disjoint": not meet,
-        "contains": inside and not m & {"EI", "EB"},
-        "within": inside and not m & {"IE", "BE"},
-        "equals": a.dim == b.dim and inside and not m & {"IE", "BE", "EI", "EB"},
-        "touches": meet and not inside,
-        "crosses": inside and ((a.dim < b.dim and "IE" in m) or (a.dim > b.dim and "EI" in m)
-                               or (a.dim == b.dim == 1 and not long)),
-        "overlaps": inside and a.dim == b.dim and "IE" in m and "EI" in m and (a.dim != 1 or long),
+        "intersects": meet, "disjoint": ~meet,
+        "contains": inside & ~has(m, (OUT, IN), (OUT, EDGE)),
+        "within": inside & ~has(m, (IN, OUT), (EDGE, OUT)),
+        "equals": (da == db) & inside & ~has(m, (IN, OUT), (EDGE, OUT), (OUT, IN), (OUT, EDGE)),
+        "touches": meet & ~inside,
+        "crosses": inside & (((da < db) & has(m, (IN, OUT))) | ((da > db) & has(m, (OUT, IN))) | ((da == 1) & (db == 1) & ~long)),
+        "overlaps": inside & (da == db) & has(m, (IN, OUT)) & has(m, (OUT, IN)) & ((da != 1) | long),
     }
-    return sum(1 << i for i, name in enumerate(PREDICATES) if holds[name])
+    out = sum(np.where(holds[name], 1 << i, 0) for i, name in enumerate(PREDICATES))
+    return np.where((shapes.count[a] == 0) | (shapes.count[b] == 0), 1 << PREDICATES.index("disjoint"), out)
+
+
+def _least_gap(p, segs):
+    """The smallest distance from positions to segments: blocks of neighbours, the closest boxes first, until no box is closer than what was found."""
+    step_p, step_s = (max(64, int(np.sqrt(len(x)))) for x in (p, segs))
+    at_p, at_s = np.arange(0, len(p), step_p), np.arange(0, len(segs), step_s)
+    boxes = _boxes(segs)
+    lo_p, hi_p = np.minimum.reduceat(p, at_p), np.maximum.reduceat(p, at_p)
+    lo_s, hi_s = np.minimum.reduceat(boxes[:, :2], at_s), np.maximum.reduceat(boxes[:, 2:], at_s)
+    apart = np.maximum(0.0, np.maximum(lo_p[:, None] - hi_s[None], lo_s[None] - hi_p[:, None]))
+    bound, least = np.hypot(apart[..., 0], apart[..., 1]), np.inf
+    for k in np.argsort(bound, axis=None):
+        i, j = divmod(int(k), len(at_s))
+        if bound[i, j] >= least:
+            break
+        least = min(least, _gaps(p[at_p[i]:at_p[i] + step_p, None], segs[at_s[j]:at_s[j] + step_s]).min())
+    return float(least)
 
 
-def _separation(a, b):
-    if not len(a.pts) or not len(b.pts):
-        return None
-    if _relate(a, b) & 1:
-        return 0.0
-    return float(min(_gap(a.pts, b).min(), _gap(b.pts, a).min()))
+def _Shape(dim, xs, ys, sizes):
+    """One geometry alone."""
+    return Shapes([dim], [xs], [ys], [sizes])
+
+
+def _gap(p, shape):
+    """Distances from positions to each segment (vertex of point sets) of one geometry, as a table."""
+    return _gaps(p[:, None], shape.walls.rows)
+
+
+def _separation(shapes, a, b):
+    """Smallest distances of the pairs, 0 where they meet, NaN where one is empty."""
+    out = np.where(_relate(shapes, a, b) & 1, 0.0, np.inf)
+    out[(shapes.count[a] == 0) | (shapes.count[b] == 0)] = np.nan
+    apart = np.flatnonzero(np.isinf(out))
+    walls = np.diff(shapes.walls.starts)
+    for one, other in ((a, b), (b, a)):
+        small = shapes.count[one[apart]] * walls[other[apart]] <= 1 << 14
+        pts, pair = _only(shapes.pts, one, np.isin(np.arange(len(out)), apart[small]))
+        for at in range(0, len(pts), 1 << 14):
+            p, own = pts[at:at + (1 << 14)], pair[at:at + (1 << 14)]
+            x, y = _expanded(shapes.walls.starts[other[own]], walls[other[own]])
+            np.minimum.at(out, own[x], _gaps(p[x], shapes.walls.rows[y]))
+        for k in apart[~small]:
+            choice = np.array([k])
+            out[k] = min(out[k], _least_gap(shapes.pts.of(one[choice])[0], shapes.walls.of(other[choice])[0]))
+    return out
+
+
+VERTICES_AT_ONCE = 200_000  # vertices of the pairs related together, which bounds memory; a pair of larger shapes goes alone
+
+
+def each_pair(test, pairs):
+    """test(shapes, a, b) of pairs of (dimension, xs, ys, part sizes), None where one is null; each shape is built once."""
+    known, indexes = {}, []
+    for pair in pairs:
+        if any(v is None for part in pair for v in part[:2]):
+            indexes.append(None)
+            continue
+        keys = [tuple(np.asarray(v).tobytes() for v in part) for part in pair]
+        indexes.append([known.setdefault(k, (len(known), part))[0] for k, part in zip(keys, pair)])
+    shapes = Shapes(*([part[k] for _, part in known.values()] for k in range(4)))
+    full = np.array([k for k in indexes if k is not None], int).reshape(-1, 2)
+    ends, found, at = np.cumsum(shapes.count[full].sum(axis=1)), [], 0
+    while at < len(full):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VERTICES_AT_ONCE)))
+        found += test(shapes, full[at:stop, 0], full[at:stop, 1]).tolist()
+        at = stop
+    values = iter(found)
+    return [None if k is None else next(values) for k in indexes]
 
 
 def _over_pairs(test, kind):
     def run(da: pd.Series, xa: pd.Series, ya: pd.Series, na: pd.Series,
             db: pd.Series, xb: pd.Series, yb: pd.Series, nb: pd.Series) -> pd.Series:
-        return pd.Series([None if a[0] is None or b[0] is None or a[1] is None or b[1] is None
-                          else test(_Shape(*a), _Shape(*b))
-                          for a, b in zip(zip(da, xa, ya, na), zip(db, xb, yb, nb))], dtype=object)
+        found = each_pair(test, zip(zip(da, xa, ya, na), zip(db, xb, yb, nb)))
+        return pd.Series([None if v is None or v != v else v for v in found], dtype=object)
     # Not declared deterministic, so that it is neither repeated nor moved below a repartition.
     return F.pandas_udf(run, kind).asNondeterministic()
 

@@ -86,6 +86,30 @@ def spatial_join_polygons(t):
     return bits.select(F.explode(names).alias("predicate"), F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
+# A level line of two vertices against a diamond: what it has inside is an open stretch around the diamond's middle.
+HALF = "(z.r - abs(s.y - z.cy))"
+
+
+@query(f"""
+select s.id as line, z.id as zone from (select id, x, y, 0.375 + id % 9 * 0.5 as reach from f_sites) s join f_zones z
+on {HALF} > 0 and s.x < z.cx + {HALF} and s.x + s.reach > z.cx - {HALF} and (s.x < z.cx - {HALF} or s.x + s.reach > z.cx + {HALF})""")
+def spatial_join_crosses(t):
+    """Lines that cross polygons."""
+    reach = F.col("x") + 0.375 + F.col("id") % 9 * 0.5
+    level = t("f_sites").withColumn("geom", g.line(F.array(g.vertex(F.col("x"), F.col("y")), g.vertex(reach, F.col("y"))))).select("id", "geom")
+    return sp.spatial_join(level, solid_zones(t), "crosses").select(F.col("l_id").alias("line"), F.col("r_id").alias("zone"))
+
+
+TURNED_GAP = """sqrt((pow(greatest(a.minx - b.maxx, b.minx - a.maxx, 0), 2) + pow(greatest(a.miny - b.maxy, b.miny - a.maxy, 0), 2)) / 2)"""
+
+
+@query(f"select a.id as a, b.id as b, round({TURNED_GAP}, 6) as distance {TURNED_PAIRS} {TURNED_GAP} <= 1.61803")
+def distance_join_polygons(t):
+    """Polygons that meet or lie apart, with their distances."""
+    near = sp.distance_join(solid_zones(t), solid_zones(t), 1.61803)
+    return near.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("distance", 6).alias("distance"))
+
+
 @query()
 def spatial_join_lines_polygons(t):
     """Lines crossing polygons with holes."""

@@ -46,6 +46,75 @@ EXPECTED = ["contains equals intersects within", "intersects touches", "contains
             "contains intersects", "intersects touches", "contains intersects", "disjoint"]
 
 
+def plain_place(p, segs):
+    """1 inside, 0 on the boundary, -1 outside an area of whole-number segments, by exact integers."""
+    odd = False
+    for (x1, y1), (x2, y2) in segs:
+        side = (x2 - x1) * (p[1] - y1) - (y2 - y1) * (p[0] - x1)
+        if side == 0 and min(x1, x2) <= p[0] <= max(x1, x2) and min(y1, y2) <= p[1] <= max(y1, y2):
+            return 0
+        if (y1 > p[1]) != (y2 > p[1]):
+            odd ^= (side > 0) == (y2 > y1)
+    return 1 if odd else -1
+
+
+def ring_shape(n, cx, radius, wobble=0.0, seed=0):
+    angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    reach = radius * (1 + wobble * np.random.default_rng(seed).standard_normal(n))
+    x, y = cx + reach * np.cos(angle), reach * np.sin(angle)
+    return 2, np.append(x, x[0]), np.append(y, y[0]), np.array([n + 1])
+
+
+def named(bits):
+    return {n for i, n in enumerate(relate.PREDICATES) if bits >> i & 1}
+
+
+def test_points_in_areas_equal_exact_integers():
+    draw = random.Random(8)
+    for _ in range(60):
+        x, y, w, h = draw.randrange(5), draw.randrange(5), draw.randrange(3, 7), draw.randrange(3, 7)
+        rings = [[(x, y), (x + w, y), (x + w + 1, y + h), (x, y + h), (x, y)], [(x + 1, y + 1), (x + 2, y + 1), (x + 1, y + 2), (x + 1, y + 1)]]
+        area = (2, *(np.array([p[k] for r in rings for p in r], float) for k in (0, 1)), np.array([5, 4]))
+        points = [(draw.randrange(13), draw.randrange(13)) for _ in range(40)]
+        got = relate.each_pair(relate._relate, [((0, np.array([px], float), np.array([py], float), np.array([1])), area) for px, py in points])
+        for p, bits in zip(points, got):
+            place = plain_place(p, [s for r in rings for s in zip(r, r[1:])])
+            assert named(bits) == {1: {"intersects", "within"}, 0: {"intersects", "touches"}, -1: {"disjoint"}}[place], (p, rings)
+
+
+@pytest.mark.parametrize("n", [5, 40, 700])
+def test_rings_by_their_middles(n):
+    """Few vertices go through plain tables, many through cells: both know circles by their middles."""
+    cases = [(0.0, 0.5, {"intersects", "contains"}), (1.0, 1.0, {"intersects", "overlaps"}), (3.0, 1.0, {"disjoint"}), (0.0, 1.0, {"intersects", "contains", "within", "equals"})]
+    pairs = [(ring_shape(n, 0, 1), ring_shape(n, x, r)) for x, r, _ in cases]
+    assert [named(b) for b in relate.each_pair(relate._relate, pairs)] == [want for *_, want in cases]
+    gaps = relate.each_pair(relate._separation, pairs + [p[::-1] for p in pairs])
+    far = min(math.dist(p, q) for p in zip(*pairs[2][0][1:3]) for q in zip(*pairs[2][1][1:3]))
+    assert gaps[:2] == [0, 0] and gaps[2] == gaps[6] <= far + 1e-9 and gaps[2] >= 0.9
+
+
+def test_large_rings_in_time_and_memory():
+    import resource
+    import time
+    began = time.process_time()
+    pairs = [(ring_shape(100_000, 0, 1, 1e-4, 1), ring_shape(100_000, 0.5, 1, 1e-4, 2)), (ring_shape(100_000, 0, 1), ring_shape(100_000, 3, 1))]
+    assert relate.each_pair(relate._separation, pairs) == [0.0, pytest.approx(1.0)]
+    assert time.process_time() - began < 20
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20
+
+
+def test_box_pairs_equal_brute_force():
+    draw = np.random.default_rng(3)
+    for scale in (1e-6, 1.0, 50.0):
+        corner = np.concatenate((draw.random((400, 2)), draw.random((400, 2)) * 1e-3))
+        size = draw.random((800, 2)) * scale * draw.choice([0, 1e-3, 1], (800, 1))
+        a = np.concatenate((corner, corner + size), axis=1)
+        b = a[::-3] + 1e-4
+        got = sorted(p for i, j in relate.box_pairs(a, b) for p in zip(i.tolist(), j.tolist()))
+        want = [(i, j) for i in range(len(a)) for j in range(len(b)) if (a[i, :2] <= b[j, 2:]).all() and (b[j, :2] <= a[i, 2:]).all()]
+        assert got == want
+
+
 def test_relations(spark):
     df = wkt(spark, *SHAPES)
     square = df.filter("id = 0").select(F.col("geom").alias("a"))
