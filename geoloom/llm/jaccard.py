@@ -6,9 +6,13 @@ transpose. The product is worked out in blocks:
 * A set of n has a prefix of n - ceil(t n) + 1 n-grams in an order common to all documents, and two sets with Jaccard t
   share an n-gram of both prefixes. So only columns of prefixes pick entries of the product. The order puts n-grams
   that a sample of documents shows to be frequent last; any order gives the same links, this one gives few entries.
-* First each row is multiplied with one other at most: the first row of most of its columns. Then come the entries between rows
-  that the links so far have not joined, and of those none between two rows of a column's largest component. So a group
-  of n near copies costs about n entries instead of n * n, and every link that could join two components is tried.
+* First each row is multiplied with one other at most: the first row of most of its columns. Rows that this leaves outside the
+  largest component of a column are multiplied with TRIES rows of that component at most, drawn by hash: what has linked
+  to a first row lies nearer the middle of a group than it. Then come the entries between rows that the links so far have
+  not joined, and of those none between two rows of a column's largest component. So a group of n near copies
+  costs about n entries instead of n * n, and every link that could join two components is tried.
+* Each row has a sketch: the parities of its n-grams in SKETCH parts. Two rows differ in at least as many n-grams as their
+  sketches in bits, so the last step only lets pairs meet whose sketches leave room for the bound.
 * In these blocks overlap counts are accumulated over the prefix columns, and an entry is dropped if its count so far and the
   n-grams that stand behind in the order can't reach the bound that the two sizes give. For the others the rest of
   the two rows is multiplied too.
@@ -32,6 +36,8 @@ WIDTH = 6  # bytes of an n-gram's number in stored sets
 SAMPLE = 16  # one text of so many tells frequent n-grams
 FREQUENT = 4  # sampled texts that make an n-gram frequent
 MOST_FREQUENT = 1 << 18  # n-grams at most that tasks are told of: 2 MB. Further ones merely keep their place in the order
+TRIES = 6  # rows of a column's largest component that each row outside it is multiplied with, before the exact step
+SKETCH = 512  # bits of a sketch
 BROADCAST_NUMBERS = 2_000_000  # numbers up to this many are sent to all tasks, 50 MB there; more are joined by a shuffle
 
 
@@ -77,6 +83,12 @@ def set_key(numbers: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a.sum()]))[0].view(np.int64)), int(mix(np.array([b.sum() ^ np.uint64(len(a))]))[0].view(np.int64))
 
 
+def sketch(numbers: np.ndarray) -> np.ndarray:
+    """The parity of how many numbers fall in each of SKETCH parts, as 64-bit words."""
+    odd = np.bincount((numbers & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _frequent(own: DataFrame, n: int) -> np.ndarray:
     """N-grams that are frequent in a sample drawn by the text's hash, most frequent last, at most MOST_FREQUENT."""
     def run(batches):
@@ -91,7 +103,7 @@ def _frequent(own: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(own: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per document: place, doc_id, set key, size and prefix."""
+    """Per document: place, doc_id, set key, size, prefix and sketch."""
     by_gram = np.argsort(frequent)
     grams = frequent[by_gram]
 
@@ -107,10 +119,11 @@ def _prefixes(own: DataFrame, n: int, percent: int, frequent: np.ndarray) -> Dat
                 prefixes.append(s[np.argsort(late, kind="stable")[:size]].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("place"), batch.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["place", "doc_id", "k1", "k2", "n_shingles", "prefix"])
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))],
+                names=["place", "doc_id", "k1", "k2", "n_shingles", "prefix", "sketch"])
 
-    return own.select("place", "doc_id", "text").mapInArrow(run, "place long, doc_id long, k1 long, k2 long, n_shingles long, prefix array<long>")
+    return own.select("place", "doc_id", "text").mapInArrow(run, "place long, doc_id long, k1 long, k2 long, n_shingles long, prefix array<long>, sketch array<long>")
 
 
 def _links(pairs: DataFrame, own: DataFrame, n: int, percent: int) -> DataFrame:
@@ -146,6 +159,14 @@ def _numbered(docs: DataFrame, place: str, folder: str | None) -> tuple[DataFram
     return docs.sparkSession.read.parquet(f"{root}/docs"), root
 
 
+def _open(columns: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (gram, node, size, at) of columns that hold several components: with their `component` and the column's largest, `top`."""
+    now = columns.join(joined, "node", "left").select("gram", "node", "size", "at", F.coalesce("component", "node").alias("component"))
+    shares = now.groupBy("gram", "component").agg(F.count("*").alias("share"))
+    largest = shares.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("share", "component")).alias("top")).filter("parts > 1")
+    return now.join(largest.select("gram", F.col("top.component").alias("top")), "gram")
+
+
 def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
     """(place, doc_id, n_shingles, component, component_id) of rows (place, doc_id, text); places are unique and read the same each time."""
     spark = own.sparkSession
@@ -174,16 +195,27 @@ def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
     tried = kept(best.select((-F.col("best.first")).alias("a"), F.col("node").alias("b")), "tried")
     joined = components(kept(_links(tried, own, n, percent), "links/round=1"))
 
-    now = (columns.select("gram", "node", "size", "at").join(joined, "node", "left")
-           .select("gram", "node", "size", "at", F.coalesce("component", "node").alias("component")))
-    shares = now.groupBy("gram", "component").agg(F.count("*").alias("share"))
-    largest = shares.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("share", "component")).alias("top")).filter("parts > 1").select(
-        "gram", F.col("top.component").alias("top"))
-    open_ = kept(now.join(largest, "gram"), "open")
-    left = open_.filter("component <> top").select("gram", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "at", "component")])
+    open_ = kept(_open(columns.select("gram", "node", "size", "at"), joined), "open/round=1")
+    leads = open_.filter("component = top").groupBy("gram").agg(
+        *[F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("b_size"), F.col("at").alias("b_at")), F.xxhash64("node", F.lit(k))).alias(str(k)) for k in range(TRIES)])
+    leads = leads.select("gram", F.explode(F.array_distinct(F.array(*[str(k) for k in range(TRIES)]))).alias("lead")).select("gram", "lead.*")
+    outside = open_.filter("component <> top").select("gram", "node", "size", "at")
+    nearest = outside.join(leads, "gram").filter(enough(alone, F.col("size"), F.col("b_size"))).groupBy("node", "leader").agg(F.count("*").alias("hits"))
+    again = nearest.groupBy("node").agg(*[F.max_by("leader", F.struct("hits", F.xxhash64("leader", F.lit(k)))).alias(str(k)) for k in range(TRIES)])
+    again = again.select(F.explode(F.array_distinct(F.array(*[str(k) for k in range(TRIES)]))).alias("leader"), "node")
+    more = kept(again.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    kept(_links(more, own, n, percent), "links/round=2")
+    tried = tried.unionByName(more)
+    joined = components(spark.read.parquet(f"{root}/links").select("a", "b"))
+
+    sketches = sets.select(F.col("place").alias("node"), "sketch")
+    open_ = kept(_open(open_.select("gram", "node", "size", "at"), joined).join(sketches, "node"), "open/round=2")
+    left = open_.filter("component <> top").select("gram", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "at", "component", "sketch")])
+    differ = sum(F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("sketch", F.lit(k)))) for k in range(SKETCH // 64))
     # A pair meets once in each column that both have. It is dropped where what stands before and after can't suffice.
     meet = ((F.col("a_component") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a_node") < F.col("node")))
-            & enough(F.least("a_at", "at") + F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")), F.col("a_size"), F.col("size")))
+            & enough(F.least("a_at", "at") + F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")), F.col("a_size"), F.col("size"))
+            & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("a_size") + F.col("size"))))
     swap = F.col("a_node") > F.col("node")
     either = lambda one, other: F.when(swap, F.col(other)).otherwise(F.col(one))
     hits = left.join(open_, "gram").filter(meet).select(
@@ -192,7 +224,7 @@ def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
     counted = hits.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("both"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
     rest = counted.filter(reach(F.col("both"), "a", "b"))
     pairs = kept(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    kept(_links(pairs, own, n, percent), "links/round=2")
+    kept(_links(pairs, own, n, percent), "links/round=3")
 
     joined = components(spark.read.parquet(f"{root}/links").select("a", "b"))
     grouped = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
