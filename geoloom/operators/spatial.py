@@ -2,8 +2,9 @@
 
 A table takes part as points (`x`, `y`), boxes (`minx`, `maxx`, `miny`, `maxy`) or geometries
 (`geom`). Joins go through grid cells: an ordinary equi-join on the cell, then the box test, then
-the exact test. Cells come in sizes that grow by four; an item uses the size it fits, so it covers
-four cells at most, and a pair meets at the coarser of its two sizes, in one cell only.
+the exact test. Cells come in sizes that grow by four, without a finest or a coarsest one; an item uses the size it fits, so it
+covers four cells at most, and a pair meets at the coarser of its two sizes, in one cell only. A cell that
+holds very many rows of both sides is quartered as often as their numbers ask for.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as g
 from geoloom.operators.relate import distance as geometry_distance
 from geoloom.operators.relate import holds
-from geoloom.operators.skew import computed_once, salted_join
+from geoloom.operators.skew import computed_once
+from geoloom.session import checkpointed
 
-CELL = 0.25  # the finest cell; there is no coarsest one
+CELL = 0.25  # the size that others are multiples of, by powers of four
+FINEST = -16  # powers below this one are finer than double precision tells apart
+CROWDED = 1_000_000  # pairs of rows that a cell may give before it is quartered
+MOST_QUARTERED = 8
 BOX = ["minx", "maxx", "miny", "maxy"]
 
 
@@ -108,16 +113,16 @@ def _levelled(df: DataFrame, prefix: str, cell: float, margin: float) -> DataFra
     lo = {a: F.col(f"{prefix}min{a}") - margin if margin else F.col(f"{prefix}min{a}") for a in "xy"}
     hi = {a: F.col(f"{prefix}max{a}") + margin if margin else F.col(f"{prefix}max{a}") for a in "xy"}
     extent = F.greatest(hi["x"] - lo["x"], hi["y"] - lo["y"])
-    level = F.when(extent > cell, F.ceil(F.log(extent / cell) / math.log(4)).cast("int")).otherwise(0)
+    level = F.when(extent > 0, F.greatest(F.ceil(F.log(extent / cell) / math.log(4)).cast("int"), F.lit(FINEST)))
     return computed_once(out.filter(F.col(f"{prefix}minx").isNotNull()), **{
         **{f"_{prefix}lo{a}": lo[a] for a in "xy"}, **{f"_{prefix}hi{a}": hi[a] for a in "xy"},
         f"_{prefix}level": level})
 
 
-def _in_cells(df: DataFrame, prefix: str, other_levels: Column, cell: float) -> DataFrame:
-    """One row per covered cell, at the item's own size and the coarser sizes the other side uses."""
-    own = F.col(f"_{prefix}level")
-    used = F.array_union(F.array(own), F.array_except(other_levels, F.sequence(F.lit(0), own)))
+def _in_cells(df: DataFrame, prefix: str, finest: Column, other_levels: Column, cell: float) -> DataFrame:
+    """One row per covered cell, at the item's own size and the coarser sizes the other side uses; an item without extent is of the finest."""
+    own = F.coalesce(F.col(f"_{prefix}level"), finest)
+    used = F.array_union(F.array(own), F.array_except(other_levels, F.sequence(F.lit(FINEST), own)))
     out = df.withColumn("_level", F.explode(used)).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("_level")))
     for a in "xy":
         first, last = (F.floor(F.col(f"_{prefix}{end}{a}") / F.col("_size")) for end in ("lo", "hi"))
@@ -125,20 +130,56 @@ def _in_cells(df: DataFrame, prefix: str, other_levels: Column, cell: float) ->
     return out
 
 
+_CELL = ["_level", "_cx", "_cy"]
+
+
+def _crowds(a: DataFrame, b: DataFrame, hot_rows: int) -> DataFrame:
+    """Cells whose rows of both sides give more than CROWDED pairs, how often each is to be quartered, and into how many shares
+    each side of a part is to be dealt: a row for a thousand rows at least."""
+    rows = a.select(*_CELL, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select(*_CELL, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    counted = rows.groupBy(*_CELL).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    pairs = F.col("l").cast("double") * F.col("r")
+    # Points spread evenly leave a sixteenth of the pairs in each quarter.
+    cuts = F.when(pairs > CROWDED, F.least(F.ceil(F.log(pairs / CROWDED) / math.log(16)) + 1, F.lit(MOST_QUARTERED))).otherwise(0)
+    shares = lambda n: F.ceil(F.col(n) / F.pow(F.lit(4.0), F.col("_cuts")) / hot_rows).cast("int").alias(f"_{n}_shares")
+    crowded = counted.filter((F.col("l") > 0) & (F.col("r") > 0) & ((pairs > CROWDED) | (F.col("l") > hot_rows) | (F.col("r") > hot_rows)))
+    return crowded.withColumn("_cuts", cuts.cast("int")).select(*_CELL, "_cuts", shares("l"), shares("r"))
+
+
+def _quartered(df: DataFrame, side: str, crowds: DataFrame) -> DataFrame:
+    """One row per covered part of a crowded cell, dealt into shares; other cells are one part. What is still uneven Spark splits while it runs."""
+    other = "r" if side == "l" else "l"
+    out = df.join(crowds, _CELL, "left").withColumn("_parts", F.pow(F.lit(2.0), F.coalesce("_cuts", F.lit(0))))
+    for a in "xy":
+        first, last = (F.floor(F.col(f"_{side}_{end}{a}") / (F.col("_size") / F.col("_parts"))) for end in ("lo", "hi"))
+        low = (F.col(f"_c{a}") * F.col("_parts")).cast("long")
+        out = out.withColumn(f"_p{a}", F.explode(F.sequence(F.greatest(first, low), F.least(last, low + F.col("_parts").cast("long") - 1))))
+    own = F.pmod(F.xxhash64(f"{side}_id"), F.coalesce(f"_{side}_shares", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_{other}_shares", F.lit(1)) - 1))
+    return out.withColumn(f"_{side}_share", own).withColumn(f"_{other}_share", every).drop("_cuts", "_l_shares", "_r_shares")
+
+
+def cell_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: float = CELL, hot_rows: int = 200_000) -> DataFrame:
+    """Pairs that share a part of a cell at the coarser of their sizes, boxes not yet compared; a pair may share several."""
+    a, b = _levelled(left, "l_", cell, margin), _levelled(right, "r_", cell, 0.0)
+    # A level for each fourfold size: a few dozen numbers at most from each side, none from points.
+    a_levels, b_levels = (df.agg(F.collect_set(c)).scalar() for df, c in ((a, "_l_level"), (b, "_r_level")))
+    finest = F.coalesce(F.array_min(F.array_union(a_levels, b_levels)), F.lit(0))
+    mine, theirs = _in_cells(a, "l_", finest, b_levels, cell), _in_cells(b, "r_", finest, a_levels, cell)
+    crowds = checkpointed(_crowds(mine, theirs, hot_rows))  # counted once for both sides
+    pairs = _quartered(mine, "l", crowds).join(_quartered(theirs, "r", crowds).drop("_size", "_parts"), [*_CELL, "_px", "_py", "_l_share", "_r_share"])
+    return pairs.filter(F.col("_level") == F.coalesce(F.greatest("_l_level", "_r_level"), finest))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: float = CELL,
                     hot_rows: int = 200_000) -> DataFrame:
     """Pairs whose boxes come within `margin`, each once, columns prefixed `l_` and `r_`."""
-    a, b = _levelled(left, "l_", cell, margin), _levelled(right, "r_", cell, 0.0)
-    # A level for each fourfold size: a few dozen numbers at most from each side.
-    a_levels, b_levels = (df.agg(F.collect_set(c)).scalar() for df, c in ((a, "_l_level"), (b, "_r_level")))
-    pairs = salted_join(_in_cells(a, "l_", b_levels, cell),
-                        _in_cells(b, "r_", a_levels, cell).drop("_size"),
-                        ["_level", "_cx", "_cy"], "l_id", hot_rows, "r_id")
+    pairs = cell_pairs(left, right, margin, cell, hot_rows)
     meet = ((F.col("_l_lox") <= F.col("_r_hix")) & (F.col("_l_hix") >= F.col("_r_lox"))
             & (F.col("_l_loy") <= F.col("_r_hiy")) & (F.col("_l_hiy") >= F.col("_r_loy")))
-    # The pair belongs to the cell that holds the lower left corner of its common box.
-    corner = [F.floor(F.greatest(f"_l_lo{a}", f"_r_lo{a}") / F.col("_size")) == F.col(f"_c{a}") for a in "xy"]
-    kept = pairs.filter((F.col("_level") == F.greatest("_l_level", "_r_level")) & meet & corner[0] & corner[1])
+    # The pair belongs to the part of a cell that holds the lower left corner of its common box.
+    corner = [F.floor(F.greatest(f"_l_lo{a}", f"_r_lo{a}") / (F.col("_size") / F.col("_parts"))) == F.col(f"_p{a}") for a in "xy"]
+    kept = pairs.filter(meet & corner[0] & corner[1])
     return kept.select(*[c for c in kept.columns if not c.startswith("_")])
 
 

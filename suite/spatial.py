@@ -229,6 +229,21 @@ def spatial_join_wide_boxes(t):
     return sp.spatial_join(sites, wide).groupBy(F.col("r_id").alias("id")).agg(F.count("*").alias("sites"))
 
 
+# All sites and boxes inside a quarter degree.
+DENSE = "0.25 * (id * 37 % 1440) / 1440 as x, 0.25 * (id * 53 % 720) / 720 as y"
+DENSE_BOX = "0.25 * (doc_id * 37 % 340) / 340 as minx, 0.25 * (doc_id * 53 % 160) / 160 as miny, 0.002 + 0.001 * (doc_id % 3) as side"
+
+
+@query(f"""
+select p.id as point, b.id as box from (select id, {DENSE} from f_sites) p join (select doc_id as id, {DENSE_BOX} from documents) b
+on p.x between b.minx and b.minx + b.side and p.y between b.miny and b.miny + b.side""")
+def spatial_join_crowded(t):
+    exact = lambda text: [f"{e.rsplit(' as ', 1)[0].replace('0.25', '0.25D').replace('0.002', '0.002D').replace('0.001', '0.001D')} as {e.rsplit(' as ', 1)[1]}" for e in text.split(", ")]
+    sites = t("f_sites").selectExpr("id", *exact(DENSE))
+    crowd = t("documents").selectExpr("doc_id as id", *exact(DENSE_BOX)).selectExpr("id", "minx", "minx + side as maxx", "miny", "miny + side as maxy")
+    return sp.spatial_join(sites, crowd).select(F.col("l_id").alias("point"), F.col("r_id").alias("box"))
+
+
 @query("""
 with upright as (select id, x, y - id % 3 * 0.5 as low from f_sites where id % 7 > 2)
 select a.id as a, b.id as b, a.y > b.low and a.y < b.low + 1 as crosses from (select id, x, y from f_sites where id % 7 < 3) a

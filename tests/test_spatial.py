@@ -149,6 +149,33 @@ def test_box_join_equals_brute_force(table, cell):
     assert rows(pairs, "l_id", "r_id") == want
 
 
+def test_crowds_give_pairs_in_proportion(spark):
+    """A hundred thousand points and ten thousand boxes inside a quarter degree, half of the points on one spot."""
+    points = spark.range(100_000).selectExpr("id", "if(id % 2 = 0, 0.2D + id * 1e-9D, rand(1) * 0.25D) as x", "if(id % 2 = 0, 0.2D, rand(2) * 0.25D) as y").checkpoint()
+    boxes = spark.range(10_000).selectExpr("id", "rand(3) * 0.19D as minx", "rand(4) * 0.19D as miny", "0.0005D + (id % 4) * 0.0005D as side").selectExpr(
+        "id", "minx", "minx + side as maxx", "miny", "miny + side as maxy").checkpoint()
+    met = spatial.candidate_pairs(points, boxes).count()
+    b = np.array(boxes.select("minx", "maxx", "miny", "maxy").collect())
+    p = np.array(points.select("x", "y").collect())
+    want = sum(int(((p[:, 0] >= x1) & (p[:, 0] <= x2) & (p[:, 1] >= y1) & (p[:, 1] <= y2)).sum()) for x1, x2, y1, y2 in b)
+    assert met == want
+    assert spatial.cell_pairs(points, boxes).count() < 100 * want
+
+
+@pytest.mark.parametrize("crowded", [1, 50])
+def test_quartered_cells_equal_brute_force(table, monkeypatch, crowded):
+    monkeypatch.setattr(spatial, "CROWDED", crowded)
+    draw = random.Random(crowded)
+    cols = "id long, minx double, maxx double, miny double, maxy double"
+    make = lambda n: [(i, x := draw.choice([0.5, draw.random()]), x + draw.choice([0, 1e-7, 0.01, 0.3, 2]), y := draw.choice([-0.25, draw.random()]), y + draw.choice([0, 0.02, 0.5])) for i in range(n)]
+    a, b = make(70), make(80)
+    got = rows(spatial.candidate_pairs(table(cols, *a), table(cols, *b)).select("l_id", "r_id"), "l_id", "r_id")
+    assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4])
+    spots = table("id long, x double, y double", *[(i, p[1], p[3]) for i, p in enumerate(a)])
+    same = rows(spatial.spatial_join(spots, spots).select("l_id", "r_id"), "l_id", "r_id")
+    assert same == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(a) if (p[1], p[3]) == (q[1], q[3]))
+
+
 def test_points_at_cell_borders(table):
     pts = table("id long, x double, y double", (1, 0.0, 0.0), (2, 0.25, 0.25), (3, -0.25, 0.5), (4, 1.0, 1.0))
     box = table("id long, minx double, maxx double, miny double, maxy double", (1, 0.0, 0.25, 0.0, 0.25))
