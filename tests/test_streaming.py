@@ -114,3 +114,43 @@ def test_first_submission_in_stream(spark, tmp_path, table):
         F.col("value").alias("id"), F.col("_metadata.file_modification_time").alias("arrived"))
     out = drain(job_streams.accept_submissions_stream(stream, table("id string", ("1",), ("2",))), spark, "accepted")
     assert sorted(r.id for r in out.collect()) == ["1", "2"]
+
+
+def dealt(df, root, *batches):
+    """A stream of one file and micro-batch for each list of row numbers."""
+    root.mkdir()
+    held = df.collect()
+    for i, part in enumerate(batches):
+        df.sparkSession.createDataFrame([held[k] for k in part], df.schema).coalesce(1).write.mode("append").json(str(root / f"b={i}"))
+        time.sleep(0.1)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(str(root))
+
+
+def test_reports_out_of_order_equal_batch(spark, tmp_path, table):
+    """Neighbours are swapped within a batch and over batches; the last row only moves the watermark on."""
+    log = [*EVENTS, (14, None, "pending"), (15, "d", "unheard of"), (16, "d", "pending")]
+    events = table("seq long, id string, status string", *log, (900, "z", "done")).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    stream = dealt(events, tmp_path / "in", [2, 0], [3, 1, 4], [6, 5, 8], [7], [11, 10, 13], [9, 12, 15], [14], [16])
+    out = drain(job_streams.ordered_transitions_stream(stream, "5 minutes"), spark, "ordered")
+    assert rows(out, "seq") == rows(jobs.job_transitions(events), "seq")
+
+
+def test_ended_jobs_are_forgotten(spark, tmp_path, table):
+    log = [(1, "a", "pending"), (2, "a", "aborted"), (50, "z", "done"), (60, "a", "pending"), (90, "z", "done")]
+    events = table("seq long, id string, status string", *log).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    out = drain(job_streams.ordered_transitions_stream(dealt(events, tmp_path / "in", [0, 1], [2], [3], [4]), "1 minute", 600_000), spark, "forgotten")
+    assert [(r.seq, r.old_status) for r in out.orderBy("seq").collect()] == [(1, None), (2, "pending"), (60, None)]
+    out = drain(job_streams.ordered_transitions_stream(dealt(events, tmp_path / "on", [0, 1], [2], [3], [4]), "1 minute"), spark, "remembered")
+    assert [r.seq for r in out.orderBy("seq").collect()] == [1, 2]
+
+
+def test_first_by_seq_wins_and_used_ids_stay_used(spark, tmp_path, table):
+    log = [("1", 3, "late"), ("1", 2, "first"), ("2", 5, "only"), ("7", 1, "never issued"), (None, 4, "none"), ("z", 400, "moves on"), ("1", 900, "again"), ("2", 901, "again"),
+           ("z", 5000, "moves on")]
+    subs = table("id string, seq long, parameters string", *log).withColumn("arrived", F.timestamp_seconds(F.col("seq") * 60))
+    issued = table("id string", ("1",), ("2",), ("3",), ("2",))
+    stream = dealt(subs, tmp_path / "in", [0], [1, 2, 3, 4], [5], [6, 7], [8])
+    out = drain(job_streams.first_submissions_stream(stream, issued, "5 minutes"), spark, "firsts")
+    got = rows(out.select("id", "seq", "parameters"), "seq")
+    assert got == [("1", 2, "first"), ("2", 5, "only")]
+    assert got == rows(jobs.accept_submissions(subs, issued).select("id", "seq", "parameters"), "seq")
