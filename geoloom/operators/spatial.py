@@ -119,9 +119,9 @@ def _levelled(df: DataFrame, prefix: str, cell: float, margin: float) -> DataFra
         f"_{prefix}level": level})
 
 
-def _in_cells(df: DataFrame, prefix: str, finest: Column, other_levels: Column, cell: float) -> DataFrame:
+def _in_cells(df: DataFrame, prefix: str, other_levels: Column, cell: float, finest: Column | int = 0) -> DataFrame:
     """One row per covered cell, at the item's own size and the coarser sizes the other side uses; an item without extent is of the finest."""
-    own = F.coalesce(F.col(f"_{prefix}level"), finest)
+    own = F.coalesce(F.col(f"_{prefix}level"), F.lit(finest))
     used = F.array_union(F.array(own), F.array_except(other_levels, F.sequence(F.lit(FINEST), own)))
     out = df.withColumn("_level", F.explode(used)).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("_level")))
     for a in "xy":
@@ -165,7 +165,7 @@ def cell_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: flo
     # A level for each fourfold size: a few dozen numbers at most from each side, none from points.
     a_levels, b_levels = (df.agg(F.collect_set(c)).scalar() for df, c in ((a, "_l_level"), (b, "_r_level")))
     finest = F.coalesce(F.array_min(F.array_union(a_levels, b_levels)), F.lit(0))
-    mine, theirs = _in_cells(a, "l_", finest, b_levels, cell), _in_cells(b, "r_", finest, a_levels, cell)
+    mine, theirs = _in_cells(a, "l_", b_levels, cell, finest), _in_cells(b, "r_", a_levels, cell, finest)
     crowds = checkpointed(_crowds(mine, theirs, hot_rows))  # counted once for both sides
     pairs = _quartered(mine, "l", crowds).join(_quartered(theirs, "r", crowds).drop("_size", "_parts"), [*_CELL, "_px", "_py", "_l_share", "_r_share"])
     return pairs.filter(F.col("_level") == F.coalesce(F.greatest("_l_level", "_r_level"), finest))
