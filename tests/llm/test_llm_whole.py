@@ -61,6 +61,19 @@ def test_short_notices_in_other_words():
         assert [n[:2] for n in Scanner().notices(text)] == [(name, 0.8)], text
 
 
+def test_words_that_name_a_license_may_not_be_missing():
+    none = ["Licensed under the Apache License.", "The album was released under the Columbia license in 1970.", "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.",
+            "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU General Public License, version 1.", "Licensed under the Eclipse Public License, version 3.", ""]
+    for text in none:
+        assert list(Scanner().notices(text)) == [], text
+    for text, name in (("Released under the BSD License.", "BSD"), ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+                       ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("Licensed under the Apache License. And this under the MIT license.", "MIT"),
+                       ("Licensed under the Apache License. Licensed under the MIT License.", "MIT")):
+        assert [n[0] for n in Scanner().notices(text)] == [name], text
+    own = Scanner({"Acme": ["Shared under the Acme Terms."], "Bolt": ["Shared under the Bolt Terms."]})
+    assert [n[0] for n in own.notices("Given under the Bolt Terms. Shared under the Cask Terms.")] == ["Bolt"]
+
+
 # --- pages: names on what holds the article, links in it
 
 ARTICLE = "<h2><a href='/x'>Title</a></h2><p>A first sentence, with <a href='/y'>a link</a>, and more. Another one.</p><ul><li>Item one</li></ul><p>Short</p>"
