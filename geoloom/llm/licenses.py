@@ -100,7 +100,7 @@ def naming_words(templates: dict[str, list[str]], coverage: float) -> list[set[s
         need = {w for w in words if any(c.isdigit() for c in w)}
         if len(words) < SHORT:
             inside = [w.lower() for w in _WRITTEN.findall(text) if w != w.lower()][text[:1].isupper():]
-            need |= {w for w in inside if 2 * len(holders[w]) < len(templates)}
+            need |= {w for w in inside if len(holders[w]) == 1 or 2 * len(holders[w]) < len(templates)}
         for other, _, theirs in every:
             if other != name and len(theirs) >= coverage * len(words) - 1e-9:
                 pairs = align(theirs, words)
@@ -184,8 +184,10 @@ class Scanner:
                     continue
                 low, high = max(done + 1, place - size - size // 4), min(len(words), place + size + size // 4 + 1)
                 pairs = self.nearest(align(words[low:high], template), size)
+                named = needed <= {template[j] for _, j in pairs}
+                if not named and len(pairs) >= least:
+                    pairs, named = self.by_name(words[low:high], template, needed, least) or (pairs, named)
                 if pairs and len(pairs) >= least:
-                    named = needed <= {template[j] for _, j in pairs}
                     yield name, len(pairs) / size, len(pairs), low + pairs[0][0], low + pairs[-1][0], named
                     done = low + pairs[-1][0] if named else place
 
@@ -201,6 +203,18 @@ class Scanner:
             ends.insert(k, last)
             yield notice
 
+    @classmethod
+    def by_name(cls, text, template, needed, least):
+        """The alignment with all naming words where another notice near by has drawn away the first one: held fast at one of these words."""
+        name = min(needed, key=lambda w: (template.count(w), w))
+        for p in (i for i, w in enumerate(text) if w == name):
+            for j in (i for i, w in enumerate(template) if w == name):
+                after = [(p + 1 + a, j + 1 + b) for a, b in align(text[p + 1:], template[j + 1:])]
+                pairs = cls.nearest([*align(text[:p], template[:j]), (p, j), *after], len(template))
+                if len(pairs) >= least and needed <= {template[b] for _, b in pairs}:
+                    return pairs, True
+        return None
+
     @staticmethod
     def nearest(pairs, size):
         """Aligned words that stand together: those at the ends are dropped while they are farther off than the template is long."""
