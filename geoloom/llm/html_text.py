@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ NAMES = set("ad ads advert adverts advertisement advertisements advertising adse
             "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular teaser share sharing social follow "
             "comment comments commentlist reply replies respond discussion disqus notice notices cookie cookies consent gdpr alert popup modal overlay "
             "newsletter subscribe subscription signup login signin register search searchform form copyright legal disclaimer skip hidden".split())
+LAYOUT = set("list lists item items wrapper wrap container box boxes block blocks section area inner outer link links bar buttons button btn body content text title "
+             "label unit slot panel row col column left right top bottom main posts articles stories icon icons count meta module region zone".split())
+NOT = set("has have with without no not page".split())  # such a name is the layout's
+PROSE = set("discussion search form share sharing social follow related popular trending recommended register alert legal copyright disclaimer notice notices "
+            "reply replies promotion header foot rail skip hidden".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 RAW = set("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +43,9 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = LEAVES | set("div section article main header footer nav aside form hr fieldset details summary body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[a-z]+")
+# Once a quote isn't closed this form takes over, which never looks further than to the next >.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()()()", re.S)
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
@@ -56,67 +64,106 @@ def outside(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def named(tag: str, attributes: str) -> bool:
-    """Whether a class or id has one of NAMES. It may be the layout's name ('has-sidebar'), so it is no reason to drop what is inside."""
-    if not attributes or tag in ("html", "body"):
+    """Whether a class or id says that the element is one of NAMES. It may be the layout's name ('has-sidebar'), so it is no reason to drop what is inside.
+
+    Of a hyphenated name the last word counts that isn't a mere word of layout: 'comment-list' is comments, 'share-price' a price. Headings
+    have no such name, paragraphs none by their id; an id of a section is often made of its heading's words, so those in PROSE don't count.
+    """
+    if not attributes or tag in ("html", "body") or tag in HEADINGS:
         return False
-    return any(name.lower() in ("class", "id") and not NAMES.isdisjoint(_NAME.findall(next((v for v in values if v), "").lower()))
-               for name, *values in _ATTRIBUTE.findall(attributes))
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        kind = name.lower()
+        if kind == "class" or kind == "id" and tag != "p":
+            for token in next((v for v in values if v), "").split():
+                parts = [w.lower() for w in _NAME.findall(token)]
+                head = next((w for w in reversed(parts) if w not in LAYOUT), "")
+                if head in NAMES and NOT.isdisjoint(parts) and not (kind == "id" and tag == "section" and head in PROSE):
+                    return True
+    return False
 
 
-def text_nodes(page: str):
-    """(block, path, out, linked, text) of each text node: out says that its path has no value, linked that it's in a link.
+class Paths:
+    """Tag paths as a tree of numbers; what is asked of a path is worked out once, from its parent. Path 0 is empty."""
 
-    In the path a named element ends in *.
-    """
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it or an outer one is outside, whether it is named
-    block, at, nodes = 0, 0, []
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.parent, self.depth, self.stars, self.container, self.block, self.article, self.marked, self.heading = [0], [0], [0], [0], [0], [0], [False], [False]
+
+    def child(self, parent: int, tag: str, star: bool) -> int:
+        number = self.numbers.setdefault((parent, tag, star), len(self.parent))
+        if number == len(self.parent):
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
+            self.stars.append(self.stars[parent] + star)
+            self.container.append(self.container[parent] if tag in INLINE or tag in LEAVES else number)  # without the blocks of text at its end
+            self.block.append(self.block[parent] if tag in INLINE else number)
+            self.article.append(self.article[parent] or number * (tag == "article"))  # the outermost one
+            self.marked.append(self.marked[parent] or tag in ("article", "main"))
+            self.heading.append(self.heading[parent] or tag in HEADINGS)
+        return number
+
+    def below(self, top: int) -> list[bool]:
+        """Of each path, whether it is `top` or goes on from it."""
+        out = []
+        for k, parent in enumerate(self.parent):
+            out.append(k == top or k > 0 and out[parent])
+        return out
+
+
+def text_nodes(page: str):
+    """(its paths, (block, path, out, linked, text) of each text node): out says that its path has no value, linked that it's in a link."""
+    paths, nodes = Paths(), []
+    stack: list[tuple[str, int, bool]] = []  # element, its path, whether it or an outer one is outside
+    places: dict[str, list[int]] = defaultdict(list)  # of each element, where it is on the stack
+    block, at = 0, 0
+    last = lambda *tags: max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def put(raw: str):
         if raw:
-            tags = [t for t, *_ in stack]
-            header = "header" in tags and not HEADINGS.intersection(tags)
-            path = tuple(t + "*" * marked for t, _, marked in stack)
-            nodes.append((block, path, bool(stack) and stack[-1][1] or header, "a" in tags, html.unescape(raw)))
-
-    def close(tag: str):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-
-    while found := _TOKEN.search(page, at):
+            header = bool(places["header"]) and not any(places[h] for h in HEADINGS)
+            nodes.append((block, stack[-1][1] if stack else 0, bool(stack) and stack[-1][2] or header, bool(places["a"]), html.unescape(raw)))
+
+    def cut(size: int):
+        while len(stack) > size:
+            places[stack.pop()[0]].pop()
+
+    pattern, final = _TOKEN, page.rfind(">")
+    # After the last > no tag ends, so nothing is searched for there; only a comment or declaration may go on to the page's end.
+    while found := pattern.search(page, at, final + 1):
         put(page[at:found.start()])
-        at = found.end()
+        at = found.end() if found[0].endswith(">") else len(page)
         end, tag, attributes = (found[k] or found[k + 3] or "" for k in (1, 2, 3))
+        if found[5]:  # a quote isn't closed: from here on tags end at their next >, so none is searched for twice
+            pattern = _PLAIN
         tag = tag.lower()
         if not tag:
             continue
         if tag not in INLINE:
             block += 1
         if end:
-            close(tag)
+            if places[tag]:
+                cut(places[tag][-1])
             continue
-        names = [t for t, *_ in stack]
-        if tag in CLOSES_P and "p" in names:
-            close("p")
-        if tag in ("article", "main") and "nav" in names:
-            close("nav")
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and tag in names:
-            last = len(names) - 1 - names[::-1].index(tag)
-            if not {"ul", "ol", "dl", "table"}.intersection(names[last + 1:]):
-                close(tag)
-        if tag in HEADINGS and names and names[-1] in HEADINGS:
-            stack.pop()
-        out = bool(stack) and stack[-1][1] or outside(tag, attributes, "article" in names or "main" in names)
+        if tag in CLOSES_P and places["p"]:
+            cut(last("p"))
+        if tag in ("article", "main") and places["nav"]:
+            cut(last("nav"))
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and places[tag] and last("ul", "ol", "dl", "table") < last(tag):
+            cut(last(tag))
+        if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            cut(len(stack) - 1)
+        out = bool(stack) and stack[-1][2] or outside(tag, attributes, bool(places["article"] or places["main"]))
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "math", "path"):
             continue
         if tag in RAW:
             finish = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = finish.end() if finish else len(page)
             continue
-        stack.append((tag, out, named(tag, attributes)))
-    put(page[at:])
-    return nodes
+        places[tag].append(len(stack))
+        stack.append((tag, paths.child(stack[-1][1] if stack else 0, tag, named(tag, attributes)), out))
+    rest = page[at:]
+    put(rest[:rest.find("<!")] if "<!" in rest else rest)
+    return paths, nodes
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -127,56 +174,48 @@ def smooth(values: np.ndarray) -> np.ndarray:
 
 def main_text(page: str | None) -> tuple[str, int]:
     """(main text, its blocks) of a page."""
-    nodes = [n for n in text_nodes(page or "") if not n[2]]
+    paths, every = text_nodes(page or "")
+    nodes = [n for n in every if not n[2]]
     kept = [n for n in nodes if not n[4].isspace()]
     if not kept:
         return "", 0
     length = np.array([len(n[4].strip()) for n in kept], float)
     marks = np.array([len(_PUNCTUATION.findall(n[4])) for n in kept], float)
     plain = np.array([0.0 if n[3] else 1.0 for n in kept]) * length
-    names, path = np.unique(np.array(["/".join(n[1]) for n in kept], object), return_inverse=True)
+    _, path = np.unique([n[1] for n in kept], return_inverse=True)
     count = np.bincount(path)
     mean = lambda v: (np.bincount(path, v) / count)[path]
-    stars = lambda tags: sum(t.endswith("*") for t in tags)
-    value = smooth(mean(length)) * (1 + smooth(mean(marks))) * mean(plain) / np.maximum(mean(length), 1) * np.array([NAMED ** stars(n[1]) for n in kept])
-
-    def cut(tags, inner):
-        end = len(tags)
-        while end and tags[end - 1].rstrip("*") in inner:
-            end -= 1
-        return tags[:end]
+    share = lambda k: NAMED ** paths.stars[k]
+    value = smooth(mean(length)) * (1 + smooth(mean(marks))) * mean(plain) / np.maximum(mean(length), 1) * np.array([share(n[1]) for n in kept])
 
-    container = lambda tags: cut(tags, INLINE | LEAVES)
-    total: dict[tuple, list[float]] = {}
+    total: dict[int, list[float]] = {}
     for n, v, chars in zip(kept, value, length):
-        entry = total.setdefault(container(n[1]), [0.0, 0.0])
+        entry = total.setdefault(paths.container[n[1]], [0.0, 0.0])
         entry[0] += v * chars
         entry[1] += chars
-    article = lambda c: [k for k, t in enumerate(c) if t.rstrip("*") == "article"]
-    marked = [c for c in total if article(c) or "main" in c or "main*" in c] or list(total)
-    best = max(marked, key=lambda c: (total[c][0], -len(c)))
-    if article(best):  # sections of an article belong together
-        best = best[:article(best)[0] + 1]
-    top = max(total[c][0] / total[c][1] for c in total if c[:len(best)] == best)
-    content = {c for c, (v, chars) in total.items() if c[:len(best)] != best and c in marked and v / chars >= SHARE * top}
+    marked = {c for c in total if paths.marked[c]} or set(total)
+    best = max((c for c in total if c in marked), key=lambda c: (total[c][0], -paths.depth[c]))
+    best = paths.article[best] or best  # sections of an article belong together
+    below = paths.below(best)
+    top = max(total[c][0] / total[c][1] for c in total if below[c])
+    content = {c for c, (v, chars) in total.items() if not below[c] and c in marked and v / chars >= SHARE * top}
     # In the article: the text outside links of each path of blocks, against that of the path with the most value.
-    inside: dict[tuple, list[float]] = {}
+    inside: dict[int, list[float]] = {}
     for n, v, chars, free in zip(kept, value, length, plain):
-        if n[1][:len(best)] == best:
-            entry = inside.setdefault(cut(n[1], INLINE), [0.0, 0.0, 0.0])
+        if below[n[1]]:
+            entry = inside.setdefault(paths.block[n[1]], [0.0, 0.0, 0.0])
             entry[0] += v * chars
             entry[1] += free
             entry[2] += chars
-    heading = lambda tags: not HEADINGS.isdisjoint(t.rstrip("*") for t in tags)
-    worth = lambda tags, block: NAMED ** stars(tags) * inside[block][1] / inside[block][2]
-    lead = max((b for b in inside if not heading(b)), key=lambda b: inside[b][0], default=None)
+    worth = lambda k, block: share(k) * inside[block][1] / inside[block][2]
+    lead = max((b for b in inside if not paths.heading[b]), key=lambda b: inside[b][0], default=None)
     least = SHARE * worth(lead, lead) if lead is not None else 0
 
-    def chosen(tags):
-        block = cut(tags, INLINE)
-        if container(tags)[:len(best)] != best or block not in inside:
-            return container(tags) in content or container(tags)[:len(best)] == best
-        return (NAMED ** stars(tags) >= least if heading(block) else worth(tags, block) >= least)
+    def chosen(k):
+        block, container = paths.block[k], paths.container[k]
+        if not below[container] or block not in inside:
+            return container in content or below[container]
+        return share(k) >= least if paths.heading[block] else worth(k, block) >= least
 
     blocks: dict[int, list[str]] = {}
     for n in nodes:

@@ -1,5 +1,6 @@
 """The whole job where it once was cut: rows, templates, pages, items and passages that used to be lost."""
 
+import time
 from collections import Counter
 
 import corpus_pipeline
@@ -129,3 +130,21 @@ def test_decontamination_judges_row_by_row(spark, tmp_path):
     docs = spark.createDataFrame([(None, item, "a"), (None, "clean", "b"), (1, item, "c"), (1, "clean too", "d"), (2, None, "e"), (3, "", "f")], "doc_id long, text string, row string")
     left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert left.columns == docs.columns and {r.row for r in left.collect()} == {"b", "d", "e", "f"}
+
+
+# --- pages: names inside the article, malformed pages
+
+def test_names_inside_the_article():
+    prose = "A sentence of prose, which is long. " * 3
+    page = (f"<article><h1>T</h1><p>{prose}</p><h2 id='related-work'>Related</h2><p>{prose}</p><section id='search-methods'><h2 class='share'>Search</h2><p>{prose}</p></section>"
+            f"<div class='share-price'><p>The price rose, much.</p></div><p class='has-drop-share'>Drop.</p><div class='form-group'><p>Group, here.</p></div><p id='search'>Last.</p>"
+            f"<div class='comment-list'><p>{prose}</p></div><div class='postComments'><p>Nice, this.</p></div><section id='comments'><p>{prose}</p></section></article>")
+    p = prose.strip()
+    assert main_text(page)[0] == f"T {p} Related {p} Search {p} The price rose, much. Drop. Group, here. Last."
+
+
+@pytest.mark.parametrize("part", ["<a ", "><a ", "<p a='", "<p a='>'", "<div>x", "<!", "<!--", "<span>x", "</p", "<p a=\"'>"])
+def test_malformed_pages_take_linear_time(part):
+    start = time.process_time()
+    text, _ = main_text("<article><p>Be.</p></article>" + part * 30_000)
+    assert text.startswith("Be.") and time.process_time() - start < 10
