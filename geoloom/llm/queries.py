@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.alignment import aligned_tokens
-from geoloom.llm.decontamination import leaks
+from geoloom.llm.decontamination import EVIDENCE, leaks
 from geoloom.llm.html_text import extract_text
 from geoloom.llm.jaccard import jaccard_groups
 from geoloom.llm.licenses import scan_licenses
@@ -140,7 +140,7 @@ def op9_quality_classifier(table):
 
 @query()
 def op10_benchmark_leaks(table):
-    return leaks(table("documents"), table("benchmark"))
+    return leaks(table("documents"), table("benchmark"), each_window=True, evidence=EVIDENCE)
 
 
 @query()

@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from geoloom.llm import jaccard
-from geoloom.llm.decontamination import leaks
+from geoloom.llm.decontamination import leaks, without_leaks
 from geoloom.llm.html_text import main_text
 from geoloom.llm.licenses import Scanner
 
@@ -148,3 +148,22 @@ def test_malformed_pages_take_linear_time(part):
     start = time.process_time()
     text, _ = main_text("<article><p>Be.</p></article>" + part * 30_000)
     assert text.startswith("Be.") and time.process_time() - start < 10
+
+
+# --- benchmark leaks: windows judged one by one, too little evidence
+
+def test_copied_windows_count_where_a_value_stays_and_changes(spark):
+    item = "If Tom has 5 apples in the basket and gives away some of them then how many are left of the 5 pears now?"
+    docs = spark.createDataFrame([(1, "before. " + item.replace("5 pears", "9 pears")), (2, item), (3, item.replace("5", "7")), (4, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {r.doc_id for r in leaks(docs, items).collect()} == {2, 3}
+    found = {r.doc_id: r for r in leaks(docs, items, each_window=True).collect()}
+    assert set(found) == {1, 2, 3} and 0 < found[1].coverage < found[2].coverage and found[1].n_windows < found[2].n_windows
+
+
+def test_little_evidence_and_both_joins(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Tell me why it rains so much."), (2, "Why?"), (3, "So: what is the capital of France?"), (None, "why"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "Why?"), (6, "What is the capital of France?")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, items, evidence=16).collect()} == {(2, 5), (3, 6)}
+    for bound in (0, 10):
+        assert {r.doc_id for r in without_leaks(docs, items, bound).collect()} == {1, 4}
