@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.codecs import bytes_to_hex, decode
 from geoloom.operators.folds import latest
 from geoloom.plans import jobs
+from geoloom.plans.leases import match_grants
 from geoloom.plans.catalog import keyword_search
 from geoloom.sources import blobs, tables, topics
 from geoloom.streaming import ingest
@@ -154,3 +155,19 @@ def test_first_by_seq_wins_and_used_ids_stay_used(spark, tmp_path, table):
     got = rows(out.select("id", "seq", "parameters"), "seq")
     assert got == [("1", 2, "first"), ("2", 5, "only")]
     assert got == rows(jobs.accept_submissions(subs, issued).select("id", "seq", "parameters"), "seq")
+
+
+def test_answers_of_requests_equal_batch(spark, tmp_path, table):
+    """Grants before their requests, two grants or requests of a tag, late rows, and requests that are never granted."""
+    asks = [("a", "ds-1", 1), ("b", "ds-2", 2), ("c", "ds-3", 6), ("c", "ds-3", 7), ("d", "ds-4", 8), ("e", "ds-5", 9), (None, "ds-6", 10), ("z", "none", 300), ("z", "none", 2000)]
+    gives = [("a", 0, 4), ("a", 5, 3), ("c", 7, 5), ("e", None, 30), ("f", 1, 12), ("d", 9, 200)]
+    asked = table("tag string, locator string, seq long", *asks).withColumn("arrived", F.timestamp_seconds(F.col("seq") * 60))
+    given = table("tag string, timeout long, seq long", *gives).withColumn("arrived", F.timestamp_seconds(F.col("seq") * 60))
+    streams = dealt(asked, tmp_path / "asked", [1, 0], [3, 2, 4], [5, 6], [7], [8]), dealt(given, tmp_path / "given", [0, 2], [1], [3, 4], [5])
+    out = drain(lease_streams.answered_stream(*streams, "5 minutes", 60 * 60_000), spark, "answers")
+    got = {r.tag: r for r in out.filter("tag <> 'z'").collect()}
+    want = {r.tag: r for r in match_grants(asked.filter("tag <> 'z'"), given.filter("seq < 200")).collect()}  # d's grant comes after its hour
+    assert out.filter("tag <> 'z'").count() == len(got) and set(got) == set(want) == {"a", "b", "c", "d", "e"}
+    for tag, row in got.items():
+        assert row.asDict() == {k: want[tag][k] for k in row.asDict()}, tag
+    assert not got["b"].granted and not got["d"].granted and got["e"].granted and got["e"].grant_timeout is None and got["a"].grant_seq == 3
