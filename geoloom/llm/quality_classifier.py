@@ -1,7 +1,7 @@
 """A quality classifier by attention-based multiple-instance learning.
 
-A text is a bag of passages: its words are dealt evenly into passages of about PASSAGE_WORDS, at most MOST_PASSAGES, so longer
-texts have longer passages and every word counts. A passage is encoded as h = tanh(W x + c) of its features x. Gated
+A text is a bag of passages: its words are dealt evenly into passages of about PASSAGE_WORDS, so a long text has many, each judged as
+those of a short one are, and every word counts. A passage is encoded as h = tanh(W x + c) of its features x. Gated
 attention weighs it by softmax(a . (tanh(V h) * sigmoid(U h))) within its text, and the weighted sum of h is scored by a
 logistic unit. All weights are learned together from document labels only.
 """
@@ -17,7 +17,8 @@ from geoloom.llm.quality_rules import sums
 from geoloom.llm.words import Block, kept_rows, repeated, seen_before, text_blocks, windows
 
 PASSAGE_WORDS = 48
-MOST_PASSAGES = 64
+MOST_PASSAGES = 64  # default of passages() alone; training and scoring set no such limit
+TRAINING_PASSAGES = 256  # passages, evenly apart, at most of a document that the weights are learned from; scores use all
 TRAINING_DOCUMENTS = 4000  # labelled documents at most that the weights are learned from, drawn by their id's hash
 CUT = 0.7
 _CLASSES = {  # fixed values: kinds of bytes that are counted
@@ -27,10 +28,10 @@ _CLASSES = {  # fixed values: kinds of bytes that are counted
 FEATURES = len(_CLASSES) + 9
 
 
-def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, text of each passage); a text without words is one passage of zeros."""
+def passages(block: Block, most: int | None = MOST_PASSAGES) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each passage, text of each passage); a text without words is one passage of zeros. `most` passages a text, None: no limit."""
     counts = block.counts
-    n_pass = np.clip(-(-counts // PASSAGE_WORDS), 1, MOST_PASSAGES)
+    n_pass = np.clip(-(-counts // PASSAGE_WORDS), 1, most)
     own = np.repeat(np.arange(len(counts)), n_pass)
     nth = np.arange(len(own)) - np.repeat(np.cumsum(n_pass) - n_pass, n_pass)
     first = block.bounds[own] + counts[own] * nth // n_pass[own]
@@ -116,18 +117,21 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> Attention:
-    """Learn from at most `most` labelled documents that are not held out; their passages' features come to the driver.
+    """Learn from at most `most` labelled documents that are not held out; the features of at most TRAINING_PASSAGES of each come to the driver, 80 MB in all.
 
     Labels that differ for one doc_id are averaged; null labels don't count. Without labels of both kinds scores are even.
     """
+    def evenly(x):
+        return x if len(x) <= TRAINING_PASSAGES else x[np.arange(TRAINING_PASSAGES) * len(x) // TRAINING_PASSAGES]
+
     def run(batches):
         for batch in batches:
             label = batch.column("label").to_pylist()
             for first, held in text_blocks(batch.column("text").to_pylist()):
-                x, own = passages(Block(held))
+                x, own = passages(Block(held), None)
                 edges = np.searchsorted(own, np.arange(len(held) + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(held)), pa.array(label[first:first + len(held)], pa.float64()),
-                                                  pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["doc_id", "label", "bag"])
+                                                  pa.array([evenly(x[a:b]).tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["doc_id", "label", "bag"])
 
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("double").alias("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.avg("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
@@ -157,7 +161,7 @@ def score(docs: DataFrame, model: Attention, cut: float = CUT) -> DataFrame:
         for batch in batches:
             parts = []
             for _, held in text_blocks(batch.column("text").to_pylist()):
-                x, own = passages(Block(held))
+                x, own = passages(Block(held), None)
                 parts.append(model.scores(x.astype(float), own, len(held)))
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(parts), pa.float64())], names=["doc_id", "score"])
@@ -170,7 +174,7 @@ def score(docs: DataFrame, model: Attention, cut: float = CUT) -> DataFrame:
 def accepted(docs: DataFrame, model: Attention, cut: float = CUT) -> DataFrame:
     """The rows of `docs`, all columns, with a score of at least `cut`."""
     def judge(held):
-        x, own = passages(Block(held))
+        x, own = passages(Block(held), None)
         return model.scores(x.astype(float), own, len(held)) >= cut
 
     return kept_rows(docs, judge)

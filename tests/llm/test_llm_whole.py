@@ -4,11 +4,14 @@ import time
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from geoloom.llm import jaccard
 from geoloom.llm.decontamination import leaks, without_leaks
 from geoloom.llm.html_text import main_text
 from geoloom.llm.licenses import Scanner
+from geoloom.llm.quality_classifier import FEATURES, Attention, passages, score
+from geoloom.llm.words import Block
 
 from test_llm_texts import near_rows, plain_groups
 
@@ -167,3 +170,27 @@ def test_little_evidence_and_both_joins(spark, tmp_path):
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items, evidence=16).collect()} == {(2, 5), (3, 6)}
     for bound in (0, 10):
         assert {r.doc_id for r in without_leaks(docs, items, bound).collect()} == {1, 4}
+
+
+# --- quality: long texts have passages like any other
+
+def plain_score(model, text):
+    """Attention by plain loops over the passages of one text."""
+    x = ((passages(Block([text.encode()]), None)[0].astype(float)) - model.mean) / model.scale
+    w, top, total = model.w, np.zeros(len(model.w["out"])), 0.0
+    for row in x:
+        h = np.tanh(row @ w["W"] + w["c"])
+        weight = np.exp(sum(a * np.tanh(h @ v) / (1 + np.exp(-(h @ u))) for a, v, u in zip(w["a"], w["V"].T, w["U"].T)))
+        top, total = top + weight * h, total + weight
+    return 1 / (1 + np.exp(-(top / total @ w["out"] + w["bias"][0])))
+
+
+def test_long_texts_are_scored_by_passages_of_one_size(spark):
+    words = [f"w{k % 97}" for k in range(20_000)]
+    x, own = passages(Block([" ".join(words).encode()]), None)
+    assert x.shape == (417, FEATURES)
+    model = Attention()
+    texts = [" ".join(words), "", "one", " ".join(words[:3073]) + " #$%"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in score(docs, model).collect():
+        assert abs(r.score - plain_score(model, texts[r.doc_id])) < 1e-9
