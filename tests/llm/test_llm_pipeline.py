@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry_point.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)} and "pipeline" in names
 
 
 @pytest.fixture(scope="module")
