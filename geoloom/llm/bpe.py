@@ -12,65 +12,107 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT_WORDS = 300_000  # pieces remembered in a Python worker; beyond that it starts anew
+KEPT_WORDS = 300_000  # pieces remembered in a Python worker, half of them of the generation before
 # Pieces that can't stand alone: none or white space after the space, control characters on which regex engines differ, special tokens.
 _ALONE = re.compile(r"\A(?:\s|\Z)|[\x1c-\x1f\u180e]|<\|")
 _ODD = re.compile(r"[\x1c-\x1f\u180e]|<\|")
 _PIECES = re.compile(r"[ \n]?\S+|\s+(?!\S)|\s+")
+_SCRIPTS = "\u0530"  # below this no letter is younger than any regex engine's tables
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # none of these joins a letter before it
 
+# Bytes are written as characters: printable ones as themselves, the others as those from 256 on in their order.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Ids:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)  # takes words in the vocabulary's own characters, with no pattern to match
+        self.letters.pre_tokenizer = pre_tokenizers.Split(_BYTES[ord("\n")], "isolated")
         self.spaced: dict[str, bytes] = {}  # ids of " " + key
         self.plain: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}  # the generation before, of both
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _stems(self, stems: list[str]) -> None:
+    def _lines(self, words: list[str], lead: str, known: dict[str, bytes], encode) -> None:
         """Many words are encoded as one text of lines and cut at the newlines' ids."""
-        lines = [w for w in stems if "\n" not in w and not w[-1].isspace()] if len(self.newline) == 1 else []
-        for k in range(0, len(lines), 4096):
-            part = lines[k:k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        for k in range(0, len(words), 4096):
+            part = words[k:k + 4096]
+            ids = np.array(encode(lead + ("\n" + lead).join(part)), "<u4")
             cuts = np.flatnonzero(ids == self.newline[0])
             if len(cuts) == len(part) - 1:  # the ids between newlines, four bytes each
                 data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                self.spaced.update(zip(part, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
-        rest = [w for w in stems if w not in self.spaced]
-        self.spaced.update(zip(rest, self._each([" " + w for w in rest])))
+                known.update(zip(part, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]))
+
+    def _by_letters(self, text: str) -> list[int]:
+        """Ids of lines of letters: each is one pre-token, so only the model has work to do."""
+        written = text.encode().decode("latin-1").translate(_BYTES)
+        return self.letters.encode_batch_fast([written], add_special_tokens=False)[0].ids
+
+    def _by_pattern(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, words: list[str]) -> None:
+    def _stems(self, stems: list[str], lead: str, known: dict[str, bytes]) -> None:
+        if len(self.newline) == 1:
+            letters = [w for w in stems if w.isalpha() and (w.isascii() or max(w) < _SCRIPTS)]
+            self._lines(letters, lead, known, self._by_letters)
+            self._lines([w for w in stems if w not in known and "\n" not in w and not w[-1].isspace()], lead, known, self._by_pattern)
+        rest = [w for w in stems if w not in known]
+        known.update(zip(rest, self._each([lead + w for w in rest])))
+
+    def _words(self, words: set[str], lead: str, known: dict[str, bytes]) -> None:
         """Marks after a letter are a piece of their own, so words are learned without and get the marks' ids behind."""
+        plain, stems, marked = self.plain, set(), []
+        for w in words:
+            bare = w.rstrip(_MARKS)
+            if len(bare) < len(w) and bare and bare[-1].isalpha():
+                marked.append((bare, w))
+                stems.add(bare)
+            else:
+                stems.add(w)
+        self._stems(list(stems.difference(known)), lead, known)
+        for bare, w in marked:
+            tail = w[len(bare):]
+            if tail not in plain:
+                plain[tail] = self._each([tail])[0]
+            known[w] = known[bare] + plain[tail]
+
+    def _learn(self, words: set[str]) -> None:
+        """A newline between two words is a piece of its own, so their ids are put together."""
         spaced, plain = self.spaced, self.plain
-        bare = [w.rstrip(_MARKS) for w in words]
-        bare = [s if s and s[-1].isalpha() else w for s, w in zip(bare, words)]
-        self._stems([s for s in set(bare) if s not in spaced])
-        for s, w in zip(bare, words):
-            if s is not w and len(s) < len(w):
-                tail = w[len(s):]
-                if tail not in plain:
-                    plain[tail] = self._each([tail])[0]
-                spaced[w] = spaced[s] + plain[tail]
+        lines = {w: w.split("\n") for w in words if "\n" in w}
+        lines = {w: parts for w, parts in lines.items() if parts == w.split()}
+        self._words((words - lines.keys()).union(parts[0] for parts in lines.values()), " ", spaced)
+        self._words({x for parts in lines.values() for x in parts[1:]}.difference(plain), "", plain)
+        newline = np.array(self.newline, "<u4").tobytes()
+        for w, parts in lines.items():
+            spaced[w] = newline.join([spaced[parts[0]], *map(plain.__getitem__, parts[1:])])
+
+    def _recall(self, words, known: dict[str, bytes], older: dict[str, bytes]) -> set[str]:
+        """Words that neither generation knows; those of the older one go over to the newer one."""
+        missing = words.difference(known)
+        again = missing.intersection(older)
+        known.update((w, older[w]) for w in again)
+        return missing - again
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.spaced) + len(self.plain) > KEPT_WORDS // 2:
+            self.older, self.spaced, self.plain = (self.spaced, self.plain), {}, {}
         spaced, plain = self.spaced, self.plain
-        if len(spaced) + len(plain) > KEPT_WORDS:
-            spaced.clear()
-            plain.clear()
         split = [text.split(" ") for text in texts]
-        new = set().union(*split).difference(spaced)
-        bad = {w for w in new if _ALONE.search(w)}
-        self._learn(list(new - bad))
+        new = self._recall(set().union(*split), spaced, self.older[0])
+        bad = {w for w in new if not w.isalpha() and _ALONE.search(w)}
+        self._learn(new - bad)
         out, uneven, whole = [b""] * len(texts), {}, []
         for i, words in enumerate(split):
             if bad and not bad.isdisjoint(words) and (_ODD.search(texts[i]) or not bad.isdisjoint(words[1:])):
@@ -78,8 +120,8 @@ class Ids:
                     whole.append(i)
                 else:
                     uneven[i] = _PIECES.findall(texts[i])
-        first = {words[0] for i, words in enumerate(split) if words[0] not in plain}
-        pieces = list(first.union(p for x in uneven.values() for p in x if p not in plain))
+        first = {words[0] for words in split}
+        pieces = list(self._recall(first.union(*uneven.values()), plain, self.older[1]))
         plain.update(zip(pieces, self._each(pieces)))
         whole_ids = dict(zip(whole, self._each([texts[i] for i in whole])))
         for i, words in enumerate(split):

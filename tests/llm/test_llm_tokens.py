@@ -41,6 +41,16 @@ def test_ids_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == [BYTES.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_odd_pieces_equal_the_library_over_generations(monkeypatch):
+    monkeypatch.setattr("geoloom.llm.bpe.KEPT_WORDS", 400)  # words go over to a new generation again and again
+    draw, ids = random.Random(5), Ids(BYTE_BPE)
+    pieces = ["a", "b", "the", "é", "ß", "Ж", "中", "e\u0301", "Ա", "'s", "'", "1", "42", "²", "Ⅷ", ".", " ", " ", "  ", "\n", "\n", "\n\n", "\t",
+              "\r\n", "\x1c", "\u180e", "\u3000", "\xa0", "-", "<|endoftext|>", "<|", "Ċ", "Ġ", "ĊĠx", "ʰ", "_", "?\n", "\u200b", "😀"]
+    for _ in range(400):
+        texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 30))) for _ in range(5)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == [BYTES.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_counts_equal_the_library():
     count = MergeCounter(WORD_BPE)
     for text in some_texts():
