@@ -14,8 +14,10 @@ import numpy as np
 
 KEPT_WORDS = 300_000  # pieces remembered in a Python worker, half of them of the generation before
 # Pieces that can't stand alone: none or white space after the space, control characters on which regex engines differ, special tokens.
-_ALONE = re.compile(r"\A(?:\s|\Z)|[\x1c-\x1f\u180e]|<\|")
+_ALONE = re.compile(r"\A(?:[^\S\x1c]|\Z)|.[\x1c-\x1f\u180e]|\A[\x1d-\x1f\u180e]|<\|", re.DOTALL)
 _ODD = re.compile(r"[\x1c-\x1f\u180e]|<\|")
+_CUT = "\x1c"  # stands for a newline before a word where texts are split; texts that hold one are encoded whole
+_LINE = re.compile(r"\n(?=\S)")  # whatever space comes before it is cut off there too
 _PIECES = re.compile(r"[ \n]?\S+|\s+(?!\S)|\s+")
 _SCRIPTS = "\u0530"  # below this no letter is younger than any regex engine's tables
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # none of these joins a letter before it
@@ -72,8 +74,9 @@ class Ids:
 
     def _words(self, words: set[str], lead: str, known: dict[str, bytes]) -> None:
         """Marks after a letter are a piece of their own, so words are learned without and get the marks' ids behind."""
-        plain, stems, marked = self.plain, set(), []
-        for w in words:
+        plain, marked = self.plain, []
+        stems = {w for w in words if w.isalpha()}
+        for w in words - stems:
             bare = w.rstrip(_MARKS)
             if len(bare) < len(w) and bare and bare[-1].isalpha():
                 marked.append((bare, w))
@@ -88,15 +91,13 @@ class Ids:
             known[w] = known[bare] + plain[tail]
 
     def _learn(self, words: set[str]) -> None:
-        """A newline between two words is a piece of its own, so their ids are put together."""
+        """What begins with a cut is a newline, a piece of its own, and a word without a space."""
         spaced, plain = self.spaced, self.plain
-        lines = {w: w.split("\n") for w in words if "\n" in w}
-        lines = {w: parts for w, parts in lines.items() if parts == w.split()}
-        self._words((words - lines.keys()).union(parts[0] for parts in lines.values()), " ", spaced)
-        self._words({x for parts in lines.values() for x in parts[1:]}.difference(plain), "", plain)
+        lines = {w for w in words if w[0] == _CUT}
+        self._words(words - lines, " ", spaced)
+        self._words({w[1:] for w in lines}.difference(plain), "", plain)
         newline = np.array(self.newline, "<u4").tobytes()
-        for w, parts in lines.items():
-            spaced[w] = newline.join([spaced[parts[0]], *map(plain.__getitem__, parts[1:])])
+        spaced.update((w, newline + plain[w[1:]]) for w in lines)
 
     def _recall(self, words, known: dict[str, bytes], older: dict[str, bytes]) -> set[str]:
         """Words that neither generation knows; those of the older one go over to the newer one."""
@@ -109,18 +110,20 @@ class Ids:
         if len(self.spaced) + len(self.plain) > KEPT_WORDS // 2:
             self.older, self.spaced, self.plain = (self.spaced, self.plain), {}, {}
         spaced, plain = self.spaced, self.plain
-        split = [text.split(" ") for text in texts]
+        split = [_LINE.sub(" " + _CUT, text).split(" ") if _CUT not in text else [] for text in texts]
         new = self._recall(set().union(*split), spaced, self.older[0])
         bad = {w for w in new if not w.isalpha() and _ALONE.search(w)}
         self._learn(new - bad)
         out, uneven, whole = [b""] * len(texts), {}, []
         for i, words in enumerate(split):
-            if bad and not bad.isdisjoint(words) and (_ODD.search(texts[i]) or not bad.isdisjoint(words[1:])):
+            if not words:
+                whole.append(i)
+            elif bad and not bad.isdisjoint(words) and (_ODD.search(texts[i]) or not bad.isdisjoint(words[1:])):
                 if _ODD.search(texts[i]):
                     whole.append(i)
                 else:
                     uneven[i] = _PIECES.findall(texts[i])
-        first = {words[0] for words in split}
+        first = {words[0] for words in split if words}
         pieces = list(self._recall(first.union(*uneven.values()), plain, self.older[1]))
         plain.update(zip(pieces, self._each(pieces)))
         whole_ids = dict(zip(whole, self._each([texts[i] for i in whole])))
