@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from geoloom.functions import geometry as g
 from geoloom.operators.ordering import median
-from geoloom.operators.skew import null_safe_join
+from geoloom.operators.skew import computed_once, null_safe_join
 from geoloom.operators.spatial import bbox_filter, spatial_join, spatial_semi, with_box
 
 
@@ -158,38 +159,59 @@ def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(chain(pts)[:-1] + chain(pts[::-1])[:-1])
 
 
-def convex_hull(points: DataFrame, key: str = "locator", spread: int = 32) -> DataFrame:
-    """Hull per key from (key, x, y) rows, as a point, line or polygon.
+@F.pandas_udf(ArrayType(DoubleType()))
+def _corners(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Hulls of bounded lists of points: all x, then all y."""
+    return pd.Series([_hull(np.asarray(x), np.asarray(y)).T.ravel() for x, y in zip(xs, ys)])
 
-    Every batch, then every part of a key, is reduced to its own corners first, so the last step
-    only sees corners.
+
+DIRECTIONS = 16  # extreme points taken of each key
+HULL_SHARE = 4096  # points of a key that are put in one list
+HULL_MERGED = 64  # lists of corners that are merged at once
+
+
+def _strictly_inside(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point is left of every side of a ring given as a list of (x, y), by more than rounding."""
+    sides = F.filter(F.zip_with(ring, F.concat(F.slice(ring, 2, DIRECTIONS - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                     lambda s: s["a"] != s["b"])
+
+    def left(s):
+        down, across = (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]), (s["b"]["y"] - s["a"]["y"]) * (x - s["a"]["x"])
+        return down - across > 1e-12 * (F.abs(down) + F.abs(across))
+
+    return (F.size(sides) > 0) & F.forall(sides, left)
+
+
+def convex_hull(points: DataFrame, key: str = "locator") -> DataFrame:
+    """Hull per key from (key, x, y) rows, as a point, line or polygon; a null key is one like any other.
+
+    The extreme points of a key in fixed directions come from one aggregate. What lies inside their polygon is dropped; of the rest
+    shares of a bounded size are reduced to their corners, then lists of corners are merged up a tree.
+    Rows without both coordinates are left out, and so is a key that has no others.
     """
-    kind = f"{key} {points.schema[key].dataType.simpleString()}"
-
-    def corners(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [(k, _hull(f["x"].to_numpy(), f["y"].to_numpy())) for k, f in frame.groupby(key, sort=False)]
-        return pd.DataFrame({key: np.repeat([k for k, _ in found], [len(h) for _, h in found]),
-                             "x": np.concatenate([h[:, 0] for _, h in found]),
-                             "y": np.concatenate([h[:, 1] for _, h in found])})
-
-    def batches(frames):
-        for frame in frames:
-            if len(frame):
-                yield corners(frame)
-
-    def ring(frame: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(frame["x"].to_numpy(), frame["y"].to_numpy())
-        return pd.DataFrame({key: [frame[key].iloc[0]], "xs": [hull[:, 0]], "ys": [hull[:, 1]]})
-
-    flat = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop()
-    partial = flat.mapInPandas(batches, f"{kind}, x double, y double")
-    parts = partial.groupBy(key, F.pmod(F.xxhash64("x", "y"), F.lit(spread)).alias("_part")).applyInPandas(
-        corners, f"{kind}, x double, y double")
-    whole = parts.groupBy(key).applyInPandas(ring, f"{kind}, xs array<double>, ys array<double>")
+    flat = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop(subset=["x", "y"])
+    turns = [2 * math.pi * k / DIRECTIONS for k in range(DIRECTIONS)]
+    far = [F.max(F.struct((F.col("x") * math.cos(t) + F.col("y") * math.sin(t)).alias("d"), "x", "y")) for t in turns]
+    rings = flat.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{k}") for k, c in enumerate(far)])
+    rings = rings.select(key, F.ceil(F.col("_n") / HULL_SHARE).alias("_shares"),
+                         F.array(*[F.struct(F.col(f"_{k}.x").alias("x"), F.col(f"_{k}.y").alias("y")) for k in range(DIRECTIONS)]).alias("_ring"))
+    outer = null_safe_join(flat, rings, [key]).filter(~_strictly_inside(F.col("x"), F.col("y"), F.col("_ring")))
+    lists = outer.groupBy(key, F.pmod(F.xxhash64("x", "y"), "_shares").alias("_part")).agg(
+        F.collect_list(F.struct("x", "y")).alias("_p")).select(key, "_part", F.col("_p.x").alias("xs"), F.col("_p.y").alias("ys"))
+
+    def reduced(df: DataFrame) -> DataFrame:
+        found = computed_once(df, _c=_corners("xs", "ys"))
+        n = (F.size("_c") / 2).cast("int")
+        return found.select(key, "_part", F.slice("_c", 1, n).alias("xs"), F.slice("_c", n + 1, n).alias("ys"))
+
+    def merged(df: DataFrame, part: Column) -> DataFrame:
+        return df.groupBy(key, part.alias("_part")).agg(F.flatten(F.collect_list("xs")).alias("xs"), F.flatten(F.collect_list("ys")).alias("ys"))
+
+    by_share = reduced(lists)
+    whole = reduced(merged(reduced(merged(by_share, F.floor(F.col("_part") / HULL_MERGED))), F.lit(0)))
     v = F.zip_with("xs", "ys", g.vertex)
     n = F.size("xs")
     closed = F.when(n > 2, F.concat(v, F.slice(v, 1, 1))).otherwise(v)
     name = F.when(n > 2, "POLYGON").when(n == 2, "LINESTRING").otherwise("POINT")
     return whole.select(key, g.make(name, F.array(F.array(closed))).alias("geom"))
 
-

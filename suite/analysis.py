@@ -144,10 +144,18 @@ def collect_geometries(t):
         F.min(e["minX"]).alias("minx"), F.max(e["maxY"]).alias("maxy"))
 
 
-@query()
+@query("""
+with spots as (select distinct locator, round(x * 100) as x, round(y * 100) as y from f_points),
+sides as (select a.locator, a.x as ax, a.y as ay, b.x as bx, b.y as by_,
+   min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) as leftmost,
+   bool_or((b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) and (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) > 0) as goes_on
+   from spots a join spots b on a.locator = b.locator and (a.x <> b.x or a.y <> b.y) join spots p on p.locator = a.locator
+   group by a.locator, a.x, a.y, b.x, b.y)
+select locator, cast(count(*) + 1 as integer) as points, round(sum(ax * by_ - bx * ay) / 20000, 6) as area from sides where leftmost >= 0 and not goes_on group by locator""")
 def convex_hull(t):
-    out = co.convex_hull(t("f_points").select("locator", "x", "y"))
-    return out.select("locator", g.num_points(F.col("geom")).alias("points"), F.round(g.area(F.col("geom")), 6).alias("area"))
+    """Corners and area: a side of the hull has all other points on its left. Whole hundredths tell points on a side exactly."""
+    out = co.convex_hull(t("f_points").select("locator", F.round(F.col("x") * 100).alias("x"), F.round(F.col("y") * 100).alias("y")))
+    return out.select("locator", g.num_points(F.col("geom")).alias("points"), F.round(g.area(F.col("geom")) / 10000, 6).alias("area"))
 
 
 @query("""

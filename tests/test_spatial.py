@@ -289,6 +289,17 @@ def test_hull_of_spread_points(spark):
     assert rows(out, "locator") == [("a", "POLYGON ((-1 -1, 11 -1, 11 11, -1 11, -1 -1))"), ("l", "LINESTRING (0 0, 2 2)"), ("p", "POINT (1 1)")]
 
 
+def test_hull_merged_over_shares_equals_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(co, "HULL_SHARE", 7)  # hundreds of shares, merged in two steps
+    turn = F.col("id") * 0.01
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).alias("k"), (F.cos(turn) * 50).alias("x"), (F.sin(turn * 3) * 20).alias("y"))
+    df = df.unionByName(spark.createDataFrame([(2, None, 1.0), (3, 4.0, 5.0)], "k int, x double, y double"))
+    found = {r.k: r.n for r in co.convex_hull(df, "k").select("k", g.num_points(F.col("geom")).alias("n")).collect()}
+    spots = df.na.drop(subset=["x", "y"]).toPandas()
+    want = {k: len(co._hull(f.x.to_numpy(), f.y.to_numpy())) for k, f in ((None, spots[spots.k.isna()]), (1, spots[spots.k == 1]))}
+    assert found == {3: 1, **{k: n + 1 for k, n in want.items()}}
+
+
 def test_collect_in_parts(spark):
     df = spark.range(1000).select("id", F.lit("a").alias("k"), g.point(F.col("id"), F.lit(0.0)).alias("geom"))
     out = co.collect_geometries(df, ["k"], members=100)
