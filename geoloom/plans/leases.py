@@ -119,6 +119,7 @@ class Routed(NamedTuple):
     grants: DataFrame
     deploy_requests: DataFrame
     deployments: DataFrame
+    unserved: DataFrame
 
 
 def route_lease_requests(requests: DataFrame, deployments: DataFrame, servers: DataFrame,
@@ -128,21 +129,21 @@ def route_lease_requests(requests: DataFrame, deployments: DataFrame, servers: D
 
     Live datasets are granted at once, starting ones get a lease only, and a dead one is started
     by its first request; the rest of the batch then finds it starting. In `attempt` mode a lease
-    on a starting deployment stays pending until the deployment completes.
+    on a starting deployment stays pending until the deployment completes. Requests that no server can
+    take, or without a locator, are `unserved`.
     """
     status = deployment_status(requests, deployments, servers).select(
         "locator", "status", F.col("deployment").alias("known"))
     dead = status.filter(F.col("status") == "dead")
     started = start_deployments(dead, deployments, servers, event_no)
     first = requests.groupBy("locator").agg(F.min("seq").alias("first_seq"))
-    routed = (requests.join(status, "locator").join(first, "locator")
+    matched = (requests.join(status, "locator", "left").join(first, "locator", "left")
               .join(started.select("locator", F.col("id").alias("new")), "locator", "left")
               .withColumn("deployment", F.coalesce("known", "new"))
               .withColumn("outcome", F.when(F.col("status") != "dead", F.col("status"))
                           .when(F.col("seq") == F.col("first_seq"), "started")
-                          .otherwise("starting"))
-              .filter(F.col("deployment").isNotNull())
-              .select("seq", "locator", "timeout", "tag", "deployment", "outcome"))
+                          .otherwise("starting")))
+    routed = matched.filter(F.col("deployment").isNotNull()).select("seq", "locator", "timeout", "tag", "deployment", "outcome")
     lifetime = now + F.expr(TTL)
     if mode == "attempt":
         lifetime = F.when(F.col("outcome") == "starting", F.lit(None).cast("timestamp")).otherwise(lifetime)
@@ -155,7 +156,8 @@ def route_lease_requests(requests: DataFrame, deployments: DataFrame, servers: D
         deploy_requests=started.select(
             "locator", F.col("id").alias("deployId"),
             F.struct("host", "port", F.col("local_path").alias("localPath")).alias("server")),
-        deployments=started.select("id", "locator", "server", "state", "event_no"))
+        deployments=started.select("id", "locator", "server", "state", "event_no"),
+        unserved=matched.filter(F.col("deployment").isNull()).select("seq", "locator", "timeout", "tag"))
 
 
 def grant_leases(finished: DataFrame, leases: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _with_octets(messages: DataFrame) -> DataFrame:
 def serve_lease_requests(requests: DataFrame, table_root: str, topic_root: str | None, checkpoint: str,
                          now: Column | None = None, sink: dict | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Answer `lease-requests`: new leases and deployments into the tables, grants and deploy
-    requests out, what can't be read to `lease-requests-rejected`. A retried batch reads the tables as they were and
+    requests out, what can't be read to `lease-requests-rejected`, what no server can take to `lease-requests-unserved`. A retried batch reads the tables as they were and
     writes the same again. `sink` goes to `write_topic`, e.g. fmt="kafka" and the brokers."""
     sink = sink or {}
 
@@ -57,6 +57,7 @@ def serve_lease_requests(requests: DataFrame, table_root: str, topic_root: str |
         append_rows(out.deployments, "deployments", table_root, number, "lease")
         write_topic(_with_octets(out.grants), "lease-grants", topic_root, batch=2 * number, **sink)
         write_topic(out.deploy_requests, "deploy-requests", topic_root, batch=number, **sink)
+        write_topic(_with_octets(out.unserved.drop("seq")), "lease-requests-unserved", topic_root, batch=number, **sink)
         write_topic(bad, "lease-requests-rejected", topic_root, batch=number, **sink)
         for df in held:
             df.unpersist()

@@ -67,6 +67,11 @@ def test_lease_routing_modes(table):
     assert ids[3] == ids[4] and ids[3] != ids[5]
     no_server = leases.route_lease_requests(req, dep, srv.limit(0), none, now)
     assert no_server.deployments.count() == 0
+    assert out.unserved.count() == 0
+    assert {r.seq for r in no_server.unserved.collect()} == {1, 2, 3, 4, 5} - {r.seq for r in no_server.requests.collect()}
+    assert {3, 4, 5} <= {r.seq for r in no_server.unserved.collect()}
+    nameless = table("seq long, locator string, timeout long, tag string", (1, None, 9, "t1"))
+    assert rows(leases.route_lease_requests(nameless, dep, srv, none, now).unserved) == [(1, None, 9, "t1")]
 
 
 def test_first_grant_only(table):
