@@ -24,15 +24,16 @@ def bare_url(url: Column) -> Column:
     return F.concat(F.lower(host), F.regexp_extract(rest, r"^[^/]*(/.*)$", 1))
 
 
-def patterns(url: Column) -> Column:
-    """array<struct<kind, pattern>> of all entries that could match: the URL, its folders, its host, the host's domains."""
+def patterns(url: Column, depths: Column) -> Column:
+    """array<struct<kind, pattern>> of all entries that could match: the URL, its folders of the given depths, its host, the host's domains."""
     bare = bare_url(url)
     host = F.element_at(F.split(bare, "/"), 1)
     labels, folders = F.split(host, r"\."), F.split(bare, "/")
     entry = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("pattern"))
     domains = F.transform(F.when(F.size(labels) > 1, F.sequence(F.lit(1), F.size(labels) - 1)).otherwise(F.array().cast("array<int>")),
                           lambda i: entry(DOMAIN, F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    paths = F.transform(F.when(F.size(folders) > 2, F.sequence(F.lit(2), F.size(folders) - 1)).otherwise(F.array().cast("array<int>")),
+    # A folder of depth i ends at the i-th slash.
+    paths = F.transform(F.array_sort(F.filter(depths, lambda i: (i > 1) & (i < F.size(folders)))),
                         lambda i: entry(PATH, F.concat(F.array_join(F.slice(folders, 1, i), "/"), F.lit("/"))))
     return F.when(F.length(host) > 0, F.concat(F.array(entry(URL, bare), entry(HOST, host)), paths, domains))
 
@@ -67,7 +68,9 @@ def filter_urls(captures: DataFrame, edits: DataFrame, slice_days: int = SLICE_D
     """
     own = captures.select(captures["page_id"].alias("page_id"), captures["url"].cast("string").alias("url"), captures["fetched"].cast("date").alias("fetched")).withColumn(
         "row", F.monotonically_increasing_id())
-    tried = own.withColumn("slice", _slice("fetched", slice_days)).withColumn("try", F.explode_outer(patterns(F.col("url")))).select(
+    # As folders only those are tried that are as deep as some entry, or a URL of very many slashes would give the square of its length.
+    listed = edits.filter(F.col("kind") == PATH).agg(F.collect_set(F.size(F.split(F.col("pattern"), "/")) - 1).alias("d")).scalar()
+    tried = own.withColumn("depths", listed).withColumn("slice", _slice("fetched", slice_days)).withColumn("try", F.explode_outer(patterns(F.col("url"), F.col("depths")))).select(
         "row", "page_id", "url", "fetched", "slice", F.col("try.kind").alias("kind"), F.col("try.pattern").alias("pattern"))
     last = own.agg(F.date_add(F.max("fetched"), 1).alias("day")).first()["day"]  # entries that still hold do so up to here
     found = tried.join(validity(edits, last, slice_days), ["kind", "pattern", "slice"], "left")

@@ -283,6 +283,15 @@ def test_extract_text(spark):
 
 # --- URLs
 
+def test_urls_of_very_many_folders(spark):
+    url = "http://a.org" + "/" * 60_000 + "x"  # all its folders would be 1.8 GB
+    captures = spark.createDataFrame([(1, url, "2024-01-05"), (2, "http://a.org/f/g", "2024-01-05")], "page_id long, url string, fetched string")
+    edits = spark.createDataFrame([("block", PATH, "a.org/f/", "add", "2024-01-01", 1), ("block", PATH, "a.org///", "add", "2024-01-01", 2)],
+                                  "list string, kind int, pattern string, action string, day string, seq long")
+    found = {r.page_id: (r.kept, r.pattern) for r in filter_urls(captures, edits).collect()}
+    assert found == {1: (False, "a.org///"), 2: (False, "a.org/f/")}
+
+
 def test_filter_urls(spark):
     draw = random.Random(11)
     hosts = ["a.example.com", "b.example.com", "x.y.example.org", "other.net", "example.com"]
