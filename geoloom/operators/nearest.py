@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
+from geoloom.operators.blocks import nearest_in_blocks
 from geoloom.operators.skew import computed_once, salted_join
 from geoloom.operators.spatial import kind_of, with_box
 from geoloom.session import checkpointed
@@ -149,12 +150,14 @@ def nearest_join(queries: DataFrame, items: DataFrame, levels: int | None = None
                 "qid", "qx", "qy", "bound", "level", "cx", "cy", "anchored", "leaf")
     front = front.select("qid", "qx", "qy", "bound", F.col("_level").alias("level"),
                          F.col("_x").alias("cx"), F.col("_y").alias("cy"))
-    found = salted_join(front, sitting, ["level", "cx", "cy"], "qid").filter(
-        _box_gap(F.col("qx"), F.col("qy")) <= F.col("bound"))
     if kind == "geometry":
+        # Pairs are many where items overlap: they meet block by block, and few of a query's are left to compare.
+        near = checkpointed(front).select("level", "cx", "cy", "bound", F.col("qid").alias("id"), F.col("qx").alias("x"), F.col("qy").alias("y"))
+        found = nearest_in_blocks(near, sitting)
         gap = g.point_to_geometry(F.col("qx"), F.col("qy"), F.col("geom"))
     else:
         gap = _box_gap(F.col("qx"), F.col("qy"))
+        found = salted_join(front, sitting, ["level", "cx", "cy"], "qid").filter(gap <= F.col("bound"))
     scored = found.withColumn("distance", gap)
     best = scored.groupBy("qid").agg(F.min_by(F.struct("id", "distance"), F.struct("distance", "id")).alias("n"))
     return best.select(F.col("qid").alias("id"), F.col("n.id").alias("nearest_id"), F.col("n.distance").alias("distance"))
