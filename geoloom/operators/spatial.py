@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
@@ -175,6 +176,9 @@ def cell_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: flo
 def candidate_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: float = CELL,
                     hot_rows: int = 200_000) -> DataFrame:
     """Pairs whose boxes come within `margin`, each once, columns prefixed `l_` and `r_`."""
+    if "geometry" in (kind_of(left), kind_of(right)):
+        every = lambda shapes, a, b: np.ones(len(a), bool)
+        return blocks.pairs_in_blocks(left, right, every, lambda met: met, {}, None, margin, cell, hot_rows)
     pairs = cell_pairs(left, right, margin, cell, hot_rows)
     meet = ((F.col("_l_lox") <= F.col("_r_hix")) & (F.col("_l_hix") >= F.col("_r_lox"))
             & (F.col("_l_loy") <= F.col("_r_hiy")) & (F.col("_l_hiy") >= F.col("_r_loy")))
