@@ -7,12 +7,13 @@ transpose. The product is worked out in blocks:
   share an n-gram of both prefixes. So only columns of prefixes pick entries of the product. The order puts n-grams
   that a sample of documents shows to be frequent last; any order gives the same links, this one gives few entries.
 * First each row is multiplied with one other at most: the first row of most of its columns. Rows that this leaves outside the
-  largest component of a column are multiplied with TRIES rows of that component at most, drawn by hash: what has linked
-  to a first row lies nearer the middle of a group than it. Then come the entries between rows that the links so far have
+  largest component of a column are multiplied with TRIES rows of that component at most, those of some drawn by hash that have the
+  nearest sketches: what has linked to a first row lies nearer the middle of a group than it. This is done again while it joins
+  many rows, as a poor first row leaves a group in several large components, whose rows would all meet. Then come the entries between rows that the links so far have
   not joined, and of those none between two rows of a column's largest component. So a group of n near copies
   costs about n entries instead of n * n, and every link that could join two components is tried.
 * Each row has a sketch: the parities of its n-grams in SKETCH parts. Two rows differ in at least as many n-grams as their
-  sketches in bits, so the last step only lets pairs meet whose sketches leave room for the bound.
+  sketches in bits, so these steps only let pairs meet whose sketches leave room for the bound.
 * In these blocks overlap counts are accumulated over the prefix columns, and an entry is dropped if its count so far and the
   n-grams that stand behind in the order can't reach the bound that the two sizes give. For the others the rest of
   the two rows is multiplied too.
@@ -25,7 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.components import components
@@ -38,6 +39,9 @@ FREQUENT = 4  # sampled texts that make an n-gram frequent
 MOST_FREQUENT = 1 << 18  # n-grams at most that tasks are told of: 2 MB. Further ones merely keep their place in the order
 TRIES = 6  # rows of a column's largest component that each row outside it is multiplied with, before the exact step
 SKETCH = 512  # bits of a sketch
+TURNS = 6  # times at most that rows outside are multiplied so
+JOINING = 20  # links of a turn that make another one worth while, if they are so many hundredths of its pairs too
+CHANCE = 3  # sketches may differ in so many bits more, times 0 to TRIES - 1, and yet be taken for nearer
 BROADCAST_NUMBERS = 2_000_000  # numbers up to this many are sent to all tasks, 50 MB there; more are joined by a shuffle
 
 
@@ -160,13 +164,33 @@ def _numbered(docs: DataFrame, place: str, folder: str | None) -> tuple[DataFram
 
 
 def _open(columns: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows (gram, node, size, at) of columns that hold several components: with their `component` and the column's largest, `top`."""
-    now = columns.join(joined, "node", "left").select("gram", "node", "size", "at", F.coalesce("component", "node").alias("component"))
+    """Rows (gram, node, size, at, …) of columns that hold several components: with their `component` and the column's largest, `top`."""
+    now = columns.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = now.groupBy("gram", "component").agg(F.count("*").alias("share"))
     largest = shares.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("share", "component")).alias("top")).filter("parts > 1")
     return now.join(largest.select("gram", F.col("top.component").alias("top")), "gram")
 
 
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return sum(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH // 64))
+
+
+def _nearer(open_: DataFrame, alone: Column, enough, percent: int, turn: int) -> DataFrame:
+    """The pairs (a, b), a < b, of rows outside a column's largest component and TRIES rows of that component at most for each: of those
+    drawn from the column by hash, anew each turn, the ones whose sketches are nearest, but for some chance."""
+    drawn = F.struct(F.col("node").alias("leader"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("sketch").alias("b_sketch"))
+    leads = open_.filter("component = top").groupBy("gram").agg(*[F.min_by(drawn, F.xxhash64("node", F.lit(k), F.lit(turn))).alias(str(k)) for k in range(TRIES)])
+    leads = leads.select("gram", F.explode(F.array_distinct(F.array(*[str(k) for k in range(TRIES)]))).alias("lead")).select("gram", "lead.*")
+    differ = _differ("sketch", "b_sketch")
+    near = open_.filter("component <> top").join(leads, "gram").filter(
+        enough(alone, F.col("size"), F.col("b_size")) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("size") + F.col("b_size"))))
+    chance = lambda k: F.pmod(F.xxhash64("leader", F.lit(k)), F.lit(CHANCE * k + 1))
+    best = near.groupBy("node").agg(*[F.min_by("leader", differ + chance(k)).alias(str(k)) for k in range(TRIES)])
+    best = best.select(F.explode(F.array_distinct(F.array(*[str(k) for k in range(TRIES)]))).alias("leader"), "node")
+    return best.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+
+
 def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
     """(place, doc_id, n_shingles, component, component_id) of rows (place, doc_id, text); places are unique and read the same each time."""
     spark = own.sparkSession
@@ -195,23 +219,21 @@ def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
     tried = kept(best.select((-F.col("best.first")).alias("a"), F.col("node").alias("b")), "tried")
     joined = components(kept(_links(tried, own, n, percent), "links/round=1"))
 
-    open_ = kept(_open(columns.select("gram", "node", "size", "at"), joined), "open/round=1")
-    leads = open_.filter("component = top").groupBy("gram").agg(
-        *[F.min_by(F.struct(F.col("node").alias("leader"), F.col("size").alias("b_size"), F.col("at").alias("b_at")), F.xxhash64("node", F.lit(k))).alias(str(k)) for k in range(TRIES)])
-    leads = leads.select("gram", F.explode(F.array_distinct(F.array(*[str(k) for k in range(TRIES)]))).alias("lead")).select("gram", "lead.*")
-    outside = open_.filter("component <> top").select("gram", "node", "size", "at")
-    nearest = outside.join(leads, "gram").filter(enough(alone, F.col("size"), F.col("b_size"))).groupBy("node", "leader").agg(F.count("*").alias("hits"))
-    again = nearest.groupBy("node").agg(*[F.max_by("leader", F.struct("hits", F.xxhash64("leader", F.lit(k)))).alias(str(k)) for k in range(TRIES)])
-    again = again.select(F.explode(F.array_distinct(F.array(*[str(k) for k in range(TRIES)]))).alias("leader"), "node")
-    more = kept(again.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    kept(_links(more, own, n, percent), "links/round=2")
-    tried = tried.unionByName(more)
-    joined = components(spark.read.parquet(f"{root}/links").select("a", "b"))
-
     sketches = sets.select(F.col("place").alias("node"), "sketch")
-    open_ = kept(_open(open_.select("gram", "node", "size", "at"), joined).join(sketches, "node"), "open/round=2")
+    open_ = _open(columns.select("gram", "node", "size", "at"), joined).join(sketches, "node")
+    for turn in range(1, TURNS + 1):
+        open_ = kept(open_, f"open/round={turn}")
+        more = kept(_nearer(open_, alone, enough, percent, turn).join(tried, ["a", "b"], "left_anti"), f"more/round={turn}")
+        found = kept(_links(more, own, n, percent), f"links/round={turn + 1}").count()
+        tried = tried.unionByName(more)
+        joined = components(spark.read.parquet(f"{root}/links").select("a", "b"))
+        open_ = _open(open_.drop("component", "top"), joined)
+        if found < max(JOINING, more.count() * JOINING // 100):  # the exact step has little left to join
+            break
+
+    open_ = kept(open_, f"open/round={turn + 1}")
     left = open_.filter("component <> top").select("gram", *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "at", "component", "sketch")])
-    differ = sum(F.bit_count(F.get("a_sketch", F.lit(k)).bitwiseXOR(F.get("sketch", F.lit(k)))) for k in range(SKETCH // 64))
+    differ = _differ("a_sketch", "sketch")
     # A pair meets once in each column that both have. It is dropped where what stands before and after can't suffice.
     meet = ((F.col("a_component") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("a_node") < F.col("node")))
             & enough(F.least("a_at", "at") + F.least(F.col("a_size") - F.col("a_at"), F.col("size") - F.col("at")), F.col("a_size"), F.col("size"))
@@ -224,7 +246,7 @@ def _grouped(own: DataFrame, n: int, percent: int, root: str) -> DataFrame:
     counted = hits.groupBy("a", "b", "a_size", "b_size").agg(F.count("*").alias("both"), F.max("a_at").alias("a_at"), F.max("b_at").alias("b_at"))
     rest = counted.filter(reach(F.col("both"), "a", "b"))
     pairs = kept(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    kept(_links(pairs, own, n, percent), "links/round=3")
+    kept(_links(pairs, own, n, percent), f"links/round={turn + 2}")
 
     joined = components(spark.read.parquet(f"{root}/links").select("a", "b"))
     grouped = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
