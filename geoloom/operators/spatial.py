@@ -18,6 +18,7 @@ from pyspark.sql.types import BooleanType, DoubleType
 
 from geoloom.functions import geometry as g
 from geoloom.operators import blocks
+from geoloom.operators.blocks import each_pair  # noqa: F401
 from geoloom.operators.relate import PREDICATES, holds
 from geoloom.operators.skew import computed_once
 from geoloom.session import checkpointed
@@ -174,8 +175,13 @@ def cell_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: flo
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, margin: float = 0.0, cell: float = CELL,
-                    hot_rows: int = 200_000) -> DataFrame:
-    """Pairs whose boxes come within `margin`, each once, columns prefixed `l_` and `r_`."""
+                    hot_rows: int = 200_000, by_shape: bool = False) -> DataFrame:
+    """Pairs whose boxes come within `margin`, each once, columns prefixed `l_` and `r_`.
+
+    Of geometries, `by_shape` lists the rows of equal ones: `l_geom` and `r_geom` with the lists `l_id` and `r_id`, for `each_pair`.
+    """
+    if by_shape:
+        return blocks.shapes_in_blocks(left, right, margin, cell, hot_rows)
     if "geometry" in (kind_of(left), kind_of(right)):
         every = lambda shapes, a, b: np.ones(len(a), bool)
         return blocks.pairs_in_blocks(left, right, every, lambda met: met, {}, None, margin, cell, hot_rows)

@@ -202,14 +202,15 @@ def zonal_statistics(t):
 select a.id, b.id as other, false as disjoint, true as intersects, a.cx = b.cx and a.cy = b.cy and a.r = b.r as same, cast(0 as double) as distance, true as near
 from f_zones a join f_zones b on abs((a.cx + a.cy) - (b.cx + b.cy)) <= a.r + b.r and abs((a.cx - a.cy) - (b.cx - b.cy)) <= a.r + b.r""")
 def fn_predicates(t):
-    """The published predicates and distances, on candidate pairs."""
+    """The published predicates and distances, on candidate pairs; rows of equal geometries come as lists until these are told."""
     from geoloom.functions.registry import call
-    pairs = sp.candidate_pairs(solid_zones(t), solid_zones(t))
+    pairs = sp.candidate_pairs(solid_zones(t), solid_zones(t), by_shape=True)
     a, b = F.col("l_geom"), F.col("r_geom")
-    return pairs.filter(call("intersects", a, b)).select(
+    told = pairs.filter(call("intersects", a, b)).select(
         F.col("l_id").alias("id"), F.col("r_id").alias("other"), call("disjoint", a, b).alias("disjoint"),
         call("intersects", a, b).alias("intersects"), (call("contains", a, b) & call("within", a, b)).alias("same"),
         call("distance", a, b).alias("distance"), call("isWithinDistance", a, b, 0.1).alias("near"))
+    return sp.each_pair(told, ["id"], ["other"])
 
 
 # Boxes of 1000 km and sites in metres.
